@@ -222,14 +222,16 @@ def _verified(g: Fraction):
     return run
 
 
-def _apart(g: Fraction):
-    """Pairs of a group's members in different components that their sizes and sketches allow to be links. Rows come sorted by gid and n."""
+def _apart(g: Fraction, nearest: bool):
+    """Pairs of a group's members in different components that their sizes and sketches allow to be links; with nearest, only that
+    of each member whose sketches differ least. Rows come sorted by gid and n; a task gives a pair once for many groups in a row."""
 
-    def pairs(n: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(n: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        best, whom = np.full(len(n), np.inf), np.full(len(n), -1)
         for i in range(0, len(n), 256):
-            top = np.searchsorted(n, int(n[min(i + 255, len(n) - 1)] / g), "right")
-            for j in range(i, int(top), 4096):
-                x, y = slice(i, min(i + 256, len(n))), slice(j, min(j + 4096, int(top)))
+            stop = int(np.searchsorted(n, int(n[min(i + 255, len(n) - 1)] / g), "right"))
+            for j in range(i, stop, 4096):
+                x, y = slice(i, min(i + 256, len(n))), slice(j, min(j + 4096, stop))
                 total = n[x, None] + n[None, y]
                 most = total * (g.denominator - g.numerator) // (g.denominator + g.numerator)
                 ok = (label[x, None] != label[None, y]) & (n[None, y] * g.numerator <= n[x, None] * g.denominator)
@@ -238,20 +240,37 @@ def _apart(g: Fraction):
                 apart = np.zeros(total.shape, np.int64)
                 for k in range(sketch.shape[1]):
                     apart += np.bitwise_count(sketch[x, None, k] ^ sketch[None, y, k])
-                a, b = np.nonzero(ok & (apart <= most))
-                if len(a):
-                    p, q = node[x][a], node[y][b]
-                    yield batch_of(_PAIRS, [np.minimum(p, q), np.maximum(p, q)])
+                ok &= apart <= most
+                if not nearest:
+                    u, v = np.nonzero(ok)
+                    yield node[x][u], node[y][v]
+                elif ok.any():
+                    far = np.where(ok, apart / total, np.inf)
+                    for axis, mine, other in ((1, x, y), (0, y, x)):
+                        low, at = far.min(axis), far.argmin(axis) + other.start
+                        better = low < best[mine]
+                        best[mine] = np.where(better, low, best[mine])
+                        whom[mine] = np.where(better, at, whom[mine])
+        if nearest:
+            some = np.flatnonzero(whom >= 0)
+            yield node[some], node[whom[some]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
                 t = pa.Table.from_batches(held)
                 order = np.argsort(t["n"].to_numpy(), kind="stable")
                 sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(len(t), -1)
-                yield from pairs(t["n"].to_numpy()[order], t["node"].to_numpy()[order], t["label"].to_numpy()[order], sketch[order])
+                for p, q in pairs(t["n"].to_numpy()[order], t["node"].to_numpy()[order], t["label"].to_numpy()[order], sketch[order]):
+                    new = set(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True)) - seen
+                    if new:
+                        if len(seen) > 1 << 20:
+                            seen.clear()
+                        seen.update(new)
+                        yield batch_of(_PAIRS, list(zip(*new, strict=True)))
                 held.clear()
 
         for batch in batches:
@@ -292,8 +311,7 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
     reps = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs, whose sets are made again from the texts of one document each."""
-        pairs = materialize(pairs, "pairs")
+        """The links among pairs (a written table), whose sets are made again from the texts of one document each."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = materialize(reps.select("node", "rep").join(wanted, "node", "left_semi"), "wanted")
         few = maybe_broadcast(wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.count())
@@ -301,27 +319,34 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
         a = sets.select(F.col("node").alias("a"), F.col("features").alias("fa"))
         b = sets.select(F.col("node").alias("b"), F.col("features").alias("fb"))
         found = materialize(pairs.join(b, "b").join(a, "a").mapInArrow(_verified(g), _as_spark(_PAIRS)).distinct(), "verified")
-        discard(pairs, wanted)
+        discard(wanted)
         return found
 
     shared = groups.select("pivot", "weight", F.explode("members").alias("node")).where("node <> pivot").groupBy("node", "pivot").agg(F.sum("weight").alias("weight"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("weight", -F.col("pivot"))).alias("pivot"))
-    links = verified(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    tested = materialize(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "tested")
+    links = verified(tested)
     found = materialize(components(links, "a", "b"), "components")
 
-    member = groups.select("gid", F.explode("members").alias("node")).join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
-    mixed = member.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-    rest = member.join(mixed, "gid", "left_semi").join(reps.select("node", "n", "sketch"), "node").select("gid", "node", "label", "n", "sketch")
-    rest = rest.repartition(partitions(spark), "gid").sortWithinPartitions("gid").mapInArrow(_apart(g), _as_spark(_PAIRS)).distinct()
-    more = verified(rest.join(links, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        again = found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
-        old, found = found, materialize(components(again, "a", "b"), "components")
-        discard(old)
+    # what a group has in different components: first each member's nearest, which joins most of them, then every pair that is left
+    for nearest in (True, True, False):
+        member = groups.select("gid", F.explode("members").alias("node")).join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
+        mixed = member.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
+        rest = member.join(mixed, "gid", "left_semi").join(reps.select("node", "n", "sketch"), "node").select("gid", "node", "label", "n", "sketch")
+        rest = materialize(rest.repartition(partitions(spark), "gid").sortWithinPartitions("gid").mapInArrow(_apart(g, nearest), _as_spark(_PAIRS)).distinct(), "apart")
+        if rest.isEmpty():
+            break
+        new = materialize(rest.join(tested, ["a", "b"], "left_anti"), "tested")
+        discard(rest)
+        more = verified(new)
+        tested = tested.union(new)
+        if not more.isEmpty():
+            links = links.union(more)
+            old, found = found, materialize(components(links, "a", "b"), "components")
+            discard(old)
 
     # of every node that has copies or links: the smallest document of its component, and its links
-    all_links = links.union(more)
-    degree = all_links.select(F.col("a").alias("node")).union(all_links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     many = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
     many = many.join(found, "node", "left").join(degree, "node", "left").where("label is not null or top > rep").select("node", "rep", F.coalesce("label", "node").alias("label"), "links")
     low = many.groupBy("label").agg(F.min("rep").alias("component_id"))
