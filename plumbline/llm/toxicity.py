@@ -22,7 +22,7 @@ from .hashing import LETTER, NUMBER, UPPER, U, classes, codepoints, mix, mix_int
 from .rules import held_out, labelled
 
 #: The most labelled rows that a fit collects to the driver.
-MAX_ROWS = 5_000
+MAX_ROWS = 3_000
 WINDOW = 6
 BUCKETS = 1 << 17
 DIM = 4
@@ -37,6 +37,39 @@ class Words:
     sizes: np.ndarray
     every: np.ndarray
     counts: np.ndarray
+    names: np.ndarray
+
+
+def words_of_many(texts: list[str], size: int = 1 << 20) -> Words:
+    """As words_of, with room for about size characters at a time; the distinct words' rows stand by word."""
+    parts: list[Words] = []
+    held: list[str] = []
+    for t in [*texts, None]:
+        if t is not None:
+            held.append(t)
+        if held and (t is None or sum(map(len, held[-64:])) > size or len(held) % 64 == 0):
+            w = words_of(held)
+            by = np.argsort(w.of, kind="stable")
+            parts.append(Words(w.rows[by].astype(np.int32), w.of[by].astype(np.int32), w.sizes, w.every.astype(np.int32), w.counts, w.names))
+            held = []
+    if not parts:
+        return words_of(texts)
+    names, first, place = np.unique(np.concatenate([p.names for p in parts]), return_index=True, return_inverse=True)
+    new = np.zeros(len(place), bool)
+    new[first] = True
+    at = 0
+    rows, of, sizes, every = [], [], np.zeros(len(names)), []
+    for p in parts:
+        own, fresh = place[at : at + len(p.names)], new[at : at + len(p.names)]
+        keep = fresh[p.of]
+        rows.append(p.rows[keep])
+        of.append(own[p.of[keep]].astype(np.int32))
+        sizes[own[fresh]] = p.sizes[fresh]
+        every.append(own[p.every].astype(np.int32))
+        at += len(p.names)
+    rows_, of_ = np.concatenate(rows), np.concatenate(of)
+    by = np.argsort(of_, kind="stable")
+    return Words(rows_[by], of_[by], sizes, np.concatenate(every), np.concatenate([p.counts for p in parts]), names)
 
 
 def words_of(texts: list[str], buckets: int = BUCKETS) -> Words:
@@ -68,7 +101,7 @@ def words_of(texts: list[str], buckets: int = BUCKETS) -> Words:
         rows.append(mix(h[ok]) % U(buckets))
         of.append(word[: len(h)][ok])
     rows_, of_ = np.concatenate(rows).astype(np.int64), np.concatenate(of)
-    return Words(rows_, of_, np.bincount(of_, minlength=len(size)).astype(float), every, counts)
+    return Words(rows_, of_, np.bincount(of_, minlength=len(size)).astype(float), every, counts, names)
 
 
 def windows_of(w: Words, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,22 +156,23 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 30, rate: float =
     if not len(y) or y.min() == y.max():
         model.scale, model.shift = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         return model
-    w = words_of(texts)
+    w = words_of_many(texts)
     window, word, text = windows_of(w)
     sizes = np.bincount(window, minlength=len(text))
     first_word = np.cumsum(sizes) - sizes
-    row_at = np.argsort(w.of, kind="stable")
     first_row = np.cumsum(w.sizes.astype(int)) - w.sizes.astype(int)
     bad, good = np.flatnonzero(y[text] == 1), np.flatnonzero(y[text] == 0)
     params = [model.table, model.softmax, model.offset]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     # rows in fewer than min_texts of the texts would be learnt by heart
-    at = np.unique(np.repeat(np.arange(len(w.counts)), w.counts) * len(w.sizes) + w.every)
+    seen = np.zeros(BUCKETS, np.int64)
+    ends = np.cumsum(w.counts)
     lengths = w.sizes.astype(int)
-    seen = lengths[at % len(w.sizes)]
-    inside = w.rows[row_at[np.repeat(first_row[at % len(w.sizes)], seen) + _ranges(seen)]]
-    rare = np.bincount(np.unique(np.repeat(at // len(w.sizes), seen) * BUCKETS + inside) % BUCKETS, minlength=BUCKETS) < min_texts
+    for e, c in zip(ends.tolist(), w.counts.tolist(), strict=True):
+        own = np.unique(w.every[e - c : e])
+        seen[np.unique(w.rows[np.repeat(first_row[own], lengths[own]) + _ranges(lengths[own])])] += 1
+    rare = seen < min_texts
     model.table[rare] = 0
     for epoch in range(epochs):
         model.__post_init__()
@@ -157,7 +191,7 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 30, rate: float =
             bag = np.repeat(np.arange(len(chosen)), sizes[chosen])
             each = word[words]
             count = w.sizes[each].astype(int)
-            rows = w.rows[row_at[np.repeat(first_row[each], count) + _ranges(count)]]
+            rows = w.rows[np.repeat(first_row[each], count) + _ranges(count)]
             share = np.repeat(1 / (w.sizes[each] * WINDOW), count)
             of = np.repeat(bag, count)
             average = np.stack([np.bincount(of, share * model.table[rows, d], minlength=len(chosen)) for d in range(DIM)], 1)
