@@ -8,8 +8,9 @@ bridge between them. A few spare first-level partitions let a set leave out thos
 
 Documents with equal sets are one node. Signatures are dealt by their hash as packed arrays, a group of equal signatures names a
 pivot, and every node is first verified against the pivot that it shares most signatures with. Members of a group that are then in
-different components are compared by parity sketches, which never lose a link, and what is left is verified exactly. Pairs inside
-a component are never made, so a group of n near copies costs about n rows.
+different components are compared by parity sketches, which never lose a link. Every pair then meets a second sketch that grows with
+its sets, and what is left is verified exactly. Pairs inside a component are never made, so a group of n near copies costs about n
+rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import batch_of, discard, materialize, maybe_broadcast, partitions,
 from .components import components
 from .hashing import U, mix, mix_int, shingle_sets
 
-#: Bits of a parity sketch.
+#: Bits of a short parity sketch, and the least of a long one.
 SKETCH = 512
 #: Signatures that a task holds before it passes them on.
 HELD = 1 << 21
@@ -86,12 +87,20 @@ def node_of(features: np.ndarray) -> int:
         return int(mix(np.array([mix(features).sum(dtype=U) + U(len(features))], U))[0] >> U(1))
 
 
-def sketch_of(features: np.ndarray) -> bytes:
-    cells = (mix(features ^ U(0xA5A5A5A5)) % U(SKETCH)).astype(np.intp)
-    return np.packbits(np.bincount(cells, minlength=SKETCH) & 1).tobytes()
+def sketch_of(features: np.ndarray) -> np.ndarray:
+    """The parities of a set's features dealt to cells, two to four cells for each feature. Two sets differ in as many features at
+    least as their sketches in cells, also after folding."""
+    size = max(SKETCH, 1 << (2 * len(features) - 1).bit_length())
+    cells = (mix(features ^ U(0xA5A5A5A5)) % U(size)).astype(np.intp)
+    return np.packbits(np.bincount(cells, minlength=size) & 1)
 
 
-_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch that the same set has with only size bytes."""
+    return sketch if len(sketch) == size else np.bitwise_xor.reduce(sketch.reshape(-1, size))
+
+
+_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("long", pa.binary())])
 _BLOBS = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("packed", pa.binary())])
 _GROUPS = pa.schema([("gid", pa.int64()), ("chunk", pa.int32()), ("pivot", pa.int64()), ("weight", pa.int64()), ("members", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("features", pa.binary())])
@@ -108,7 +117,9 @@ def _nodes(words: int):
         for ids, texts in text_chunks(batches):
             sets = shingle_sets(texts, words)
             some = [len(s) > 0 for s in sets]
-            yield batch_of(_NODES, [ids, [len(s) for s in sets], [node_of(s) if x else None for s, x in zip(sets, some, strict=True)], [sketch_of(s) if x else None for s, x in zip(sets, some, strict=True)]])
+            sketches = [sketch_of(s) if x else None for s, x in zip(sets, some, strict=True)]
+            short = [None if x is None else fold(x, SKETCH // 8).tobytes() for x in sketches]
+            yield batch_of(_NODES, [ids, [len(s) for s in sets], [node_of(s) if x else None for s, x in zip(sets, some, strict=True)], short, [None if x is None else x.tobytes() for x in sketches]])
 
     return run
 
@@ -203,6 +214,25 @@ def _sets(words: int):
     return run
 
 
+def _screened(g: Fraction):
+    """The pairs that their sizes and long sketches allow to be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[], []]
+            for a, b, m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "la", "lb")), strict=True):
+                if min(m, n) * g.denominator < max(m, n) * g.numerator:
+                    continue
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count((fold(np.frombuffer(x, np.uint8), size) ^ fold(np.frombuffer(y, np.uint8), size)).view(U)).sum())
+                if apart <= (m + n) * (g.denominator - g.numerator) // (g.denominator + g.numerator):
+                    rows[0].append(a)
+                    rows[1].append(b)
+            yield batch_of(_PAIRS, rows)
+
+    return run
+
+
 def _verified(g: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,10 +338,13 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
     groups = materialize(groups.groupBy("gid", "chunk").agg(F.first("pivot").alias("pivot"), F.sum("weight").alias("weight"), F.first("members").alias("members")), "groups")
 
     whole = nodes.where("node is not null and doc_id is not null")
-    reps = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("long").alias("long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a written table), whose sets are made again from the texts of one document each."""
+        """The links among pairs. The sets of those that pass the screen are made again from the texts of one document each."""
+        x = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"))
+        y = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"))
+        pairs = materialize(pairs.join(y, "b").join(x, "a").mapInArrow(_screened(g), _as_spark(_PAIRS)), "screened")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = materialize(reps.select("node", "rep").join(wanted, "node", "left_semi"), "wanted")
         few = maybe_broadcast(wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.count())
@@ -319,7 +352,7 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
         a = sets.select(F.col("node").alias("a"), F.col("features").alias("fa"))
         b = sets.select(F.col("node").alias("b"), F.col("features").alias("fb"))
         found = materialize(pairs.join(b, "b").join(a, "a").mapInArrow(_verified(g), _as_spark(_PAIRS)).distinct(), "verified")
-        discard(wanted)
+        discard(wanted, pairs)
         return found
 
     shared = groups.select("pivot", "weight", F.explode("members").alias("node")).where("node <> pivot").groupBy("node", "pivot").agg(F.sum("weight").alias("weight"))
@@ -351,5 +384,5 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
     many = many.join(found, "node", "left").join(degree, "node", "left").where("label is not null or top > rep").select("node", "rep", F.coalesce("label", "node").alias("label"), "links")
     low = many.groupBy("label").agg(F.min("rep").alias("component_id"))
     of = many.join(low, "label").select("node", "component_id", "links")
-    out = nodes.drop("sketch").join(of, "node", "left")
+    out = nodes.select("doc_id", "n", "node").join(of, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

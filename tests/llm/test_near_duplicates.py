@@ -5,7 +5,7 @@ from fractions import Fraction
 import pytest
 
 from plumbline.llm.components import components
-from plumbline.llm.partenum import Scheme, near_duplicates
+from plumbline.llm.partenum import SKETCH, Scheme, fold, near_duplicates, sketch_of
 
 
 def brute(rows, similarity, k):
@@ -83,3 +83,17 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 90), (7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "u long, v long")).distinct().collect()}
     assert got == {i: 0 for i in range(31)} | {90: 90, 100: 90}
+
+
+def test_sketches_never_lose_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 300, 5000):
+        a = np.unique(rng.integers(1 << 62, size=n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 9 :], rng.integers(1 << 62, size=2 * n).astype(np.uint64)]))
+        x, y = sketch_of(a), sketch_of(b)
+        size = min(len(x), len(y))
+        assert np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= len(np.setxor1d(a, b))
+        cells = np.unpackbits(fold(y, SKETCH // 8))
+        assert len(cells) == SKETCH and cells.sum() <= len(b)
