@@ -12,7 +12,7 @@ from .hashing import BLANK, NUMBER, OTHER, U, classes, codepoints, mix, span_has
 #: The words that end with an apostrophe's contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct words that a process remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> dict[str, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,7 +51,7 @@ def maybe_broadcast(small: DataFrame, rows: int | None = None, limit: int = BROA
     return F.broadcast(small) if (small.count() if rows is None else rows) <= limit else small
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of about size characters from batches of two columns, an id and a text; a null text is empty. A longer text stands alone."""
     ids: list = []
     texts: list[str] = []
@@ -66,6 +67,15 @@ def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Itera
             n += len(t)
     if texts:
         yield ids, texts
+    ids, texts = [], []
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where its C library can: worker processes live on after a task."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

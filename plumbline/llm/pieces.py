@@ -23,7 +23,7 @@ from .hashing import U, codepoints, mix, span_hashes
 
 BLANK = "▁"
 #: Distinct words that a process remembers, and how many are indexed at once.
-REMEMBERED, INDEXED = 400_000, 60_000
+REMEMBERED, INDEXED = 200_000, 60_000
 
 
 class Pieces:
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for keys, texts in text_chunks(batches, 2 << 20):
+        for keys, texts in text_chunks(batches):
             yield batch_of(_IDS, [keys, model.encode(texts)])
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids array<int>")

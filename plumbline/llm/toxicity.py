@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, text_chunks
+from .common import batch_of, text_chunks, trim
 from .hashing import LETTER, NUMBER, UPPER, U, classes, codepoints, mix, mix_int, span_hashes
 from .rules import held_out, labelled
 
@@ -233,7 +233,9 @@ def _ranges(sizes: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> ToxicityModel:
     some = labelled(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), labels, label, max_rows, "id")
     rows = some.select("id", "_y", "text").dropDuplicates().toPandas().sort_values(["id", "text"])
-    return fit(rows["text"].tolist(), rows["_y"].to_numpy())
+    model = fit(rows["text"].tolist(), rows["_y"].to_numpy())
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +244,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_chunks(batches, 2 << 20):
+        for ids, texts in text_chunks(batches):
             yield batch_of(schema, [ids, sent.value.scores(texts)])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -267,7 +269,7 @@ def keep(docs: DataFrame, model: ToxicityModel, threshold: float, *, text_col: s
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
         found: list = []
-        for _, some in text_chunks([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], names=["i", "t"])], 2 << 20):
+        for _, some in text_chunks([pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], names=["i", "t"])]):
             found += sent.value.scores(some).tolist()
         return pa.array(found, pa.float64())
 
