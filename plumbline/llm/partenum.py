@@ -8,8 +8,8 @@ bridge between them. A few spare first-level partitions let a set leave out thos
 
 Documents with equal sets are one node. Signatures are dealt by their hash as packed arrays, a group of equal signatures names a
 pivot, and every node is first verified against the pivot that it shares most signatures with. Members of a group that are then in
-different components are compared by parity sketches, which never lose a link. Every pair then meets a second sketch that grows with
-its sets, and what is left is verified exactly. Pairs inside a component are never made, so a group of n near copies costs about n
+different components are compared by parity sketches, which never lose a link: a short one, then one that grows with its sets. What is
+left is verified exactly. Pairs inside a component are never made, so a group of n near copies costs about n
 rows.
 """
 
@@ -30,6 +30,8 @@ from .hashing import U, mix, mix_int, shingle_sets
 
 #: Bits of a short parity sketch, and the least of a long one.
 SKETCH = 512
+#: Sets of so many features or more are compared by their long sketches, too, within a group: the short one tells too little there.
+LARGE = 400
 #: Signatures that a task holds before it passes them on.
 HELD = 1 << 21
 
@@ -88,9 +90,9 @@ def node_of(features: np.ndarray) -> int:
 
 
 def sketch_of(features: np.ndarray) -> np.ndarray:
-    """The parities of a set's features dealt to cells, two to four cells for each feature. Two sets differ in as many features at
+    """The parities of a set's features dealt to cells, one or two cells for each feature. Two sets differ in as many features at
     least as their sketches in cells, also after folding."""
-    size = max(SKETCH, 1 << (2 * len(features) - 1).bit_length())
+    size = max(SKETCH, 1 << (len(features) - 1).bit_length())
     cells = (mix(features ^ U(0xA5A5A5A5)) % U(size)).astype(np.intp)
     return np.packbits(np.bincount(cells, minlength=size) & 1)
 
@@ -214,6 +216,15 @@ def _sets(words: int):
     return run
 
 
+def may_link(g: Fraction, m: int, n: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sets of m and n features with the sketches x and y can be links."""
+    if min(m, n) * g.denominator < max(m, n) * g.numerator:
+        return False
+    size = min(len(x), len(y))
+    apart = int(np.bitwise_count((fold(x, size) ^ fold(y, size)).view(U)).sum())
+    return apart <= (m + n) * (g.denominator - g.numerator) // (g.denominator + g.numerator)
+
+
 def _screened(g: Fraction):
     """The pairs that their sizes and long sketches allow to be links."""
 
@@ -221,11 +232,7 @@ def _screened(g: Fraction):
         for batch in batches:
             rows: list[list] = [[], []]
             for a, b, m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "la", "lb")), strict=True):
-                if min(m, n) * g.denominator < max(m, n) * g.numerator:
-                    continue
-                size = min(len(x), len(y))
-                apart = int(np.bitwise_count((fold(np.frombuffer(x, np.uint8), size) ^ fold(np.frombuffer(y, np.uint8), size)).view(U)).sum())
-                if apart <= (m + n) * (g.denominator - g.numerator) // (g.denominator + g.numerator):
+                if may_link(g, m, n, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)):
                     rows[0].append(a)
                     rows[1].append(b)
             yield batch_of(_PAIRS, rows)
@@ -254,9 +261,10 @@ def _verified(g: Fraction):
 
 def _apart(g: Fraction, nearest: bool):
     """Pairs of a group's members in different components that their sizes and sketches allow to be links; with nearest, only that
-    of each member whose sketches differ least. Rows come sorted by gid and n; a task gives a pair once for many groups in a row."""
+    of each member whose short sketches differ least, else those that the long ones of large sets allow, too. Rows come sorted by gid and n; a task gives a pair once for many groups in a row."""
 
-    def pairs(n: np.ndarray, node: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the pairs' members, which are sorted by n."""
         best, whom = np.full(len(n), np.inf), np.full(len(n), -1)
         for i in range(0, len(n), 256):
             stop = int(np.searchsorted(n, int(n[min(i + 255, len(n) - 1)] / g), "right"))
@@ -273,7 +281,7 @@ def _apart(g: Fraction, nearest: bool):
                 ok &= apart <= most
                 if not nearest:
                     u, v = np.nonzero(ok)
-                    yield node[x][u], node[y][v]
+                    yield u + x.start, v + y.start
                 elif ok.any():
                     far = np.where(ok, apart / total, np.inf)
                     for axis, mine, other in ((1, x, y), (0, y, x)):
@@ -283,7 +291,7 @@ def _apart(g: Fraction, nearest: bool):
                         whom[mine] = np.where(better, at, whom[mine])
         if nearest:
             some = np.flatnonzero(whom >= 0)
-            yield node[some], node[whom[some]]
+            yield some, whom[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -294,13 +302,18 @@ def _apart(g: Fraction, nearest: bool):
                 t = pa.Table.from_batches(held)
                 order = np.argsort(t["n"].to_numpy(), kind="stable")
                 sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(len(t), -1)
-                for p, q in pairs(t["n"].to_numpy()[order], t["node"].to_numpy()[order], t["label"].to_numpy()[order], sketch[order]):
-                    new = set(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True)) - seen
-                    if new:
-                        if len(seen) > 1 << 20:
-                            seen.clear()
-                        seen.update(new)
-                        yield batch_of(_PAIRS, list(zip(*new, strict=True)))
+                n, node, large = t["n"].to_numpy()[order], t["node"].to_numpy()[order], t["long"].take(order).to_pylist()
+                long = [None if v is None else np.frombuffer(v, np.uint8) for v in large]
+                for p, q in pairs(n, t["label"].to_numpy()[order], sketch[order]):
+                    a, b = node[p], node[q]
+                    places = zip(p.tolist(), q.tolist(), strict=True)
+                    new = {k: v for k, v in zip(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True), places, strict=True) if k not in seen}
+                    if len(seen) > 1 << 19:
+                        seen.clear()
+                    seen.update(new)
+                    found = [k for k, (i, j) in new.items() if long[i] is None or long[j] is None or may_link(g, int(n[i]), int(n[j]), long[i], long[j])]
+                    if found:
+                        yield batch_of(_PAIRS, list(zip(*found, strict=True)))
                 held.clear()
 
         for batch in batches:
@@ -363,9 +376,10 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
 
     # what a group has in different components: first each member's nearest, which joins most of them, then every pair that is left
     for nearest in (True, True, False):
+        long = F.lit(None).cast("binary") if nearest else F.when(F.col("n") >= LARGE, F.col("long"))
         member = groups.select("gid", F.explode("members").alias("node")).join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
         mixed = member.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-        rest = member.join(mixed, "gid", "left_semi").join(reps.select("node", "n", "sketch"), "node").select("gid", "node", "label", "n", "sketch")
+        rest = member.join(mixed, "gid", "left_semi").join(reps.select("node", "n", "sketch", long.alias("long")), "node").select("gid", "node", "label", "n", "sketch", "long")
         rest = materialize(rest.repartition(partitions(spark), "gid").sortWithinPartitions("gid").mapInArrow(_apart(g, nearest), _as_spark(_PAIRS)).distinct(), "apart")
         if rest.isEmpty():
             break

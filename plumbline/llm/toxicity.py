@@ -40,36 +40,36 @@ class Words:
     names: np.ndarray
 
 
-def words_of_many(texts: list[str], size: int = 1 << 20) -> Words:
+def words_of_many(texts: list[str], size: int = 1 << 18) -> Words:
     """As words_of, with room for about size characters at a time; the distinct words' rows stand by word."""
-    parts: list[Words] = []
-    held: list[str] = []
+    names, numbers, n = np.zeros(0, U), np.zeros(0, np.int32), 0  # the words so far, sorted by name
+    rows, of, sizes, every, counts, held = [], [], [], [], [], []
     for t in [*texts, None]:
         if t is not None:
             held.append(t)
         if held and (t is None or sum(map(len, held[-64:])) > size or len(held) % 64 == 0):
             w = words_of(held)
-            by = np.argsort(w.of, kind="stable")
-            parts.append(Words(w.rows[by].astype(np.int32), w.of[by].astype(np.int32), w.sizes, w.every.astype(np.int32), w.counts, w.names))
-            held = []
-    if not parts:
+            at = np.searchsorted(names, w.names)
+            fresh = np.ones(len(at), bool)
+            inside = at < len(names)
+            fresh[inside] = names[at[inside]] != w.names[inside]
+            own = np.empty(len(at), np.int32)
+            own[~fresh] = numbers[at[~fresh]]
+            own[fresh] = n + np.arange(fresh.sum())
+            n += int(fresh.sum())
+            keep = np.flatnonzero(fresh[w.of])
+            keep = keep[np.argsort(w.of[keep], kind="stable")]
+            rows.append(w.rows[keep].astype(np.int32))
+            of.append(own[w.of[keep]])
+            sizes.append(w.sizes[fresh])
+            every.append(own[w.every])
+            counts.append(w.counts)
+            names, numbers = np.concatenate([names, w.names[fresh]]), np.concatenate([numbers, own[fresh]])
+            by = np.argsort(names)
+            names, numbers, held = names[by], numbers[by], []
+    if not counts:
         return words_of(texts)
-    names, first, place = np.unique(np.concatenate([p.names for p in parts]), return_index=True, return_inverse=True)
-    new = np.zeros(len(place), bool)
-    new[first] = True
-    at = 0
-    rows, of, sizes, every = [], [], np.zeros(len(names)), []
-    for p in parts:
-        own, fresh = place[at : at + len(p.names)], new[at : at + len(p.names)]
-        keep = fresh[p.of]
-        rows.append(p.rows[keep])
-        of.append(own[p.of[keep]].astype(np.int32))
-        sizes[own[fresh]] = p.sizes[fresh]
-        every.append(own[p.every].astype(np.int32))
-        at += len(p.names)
-    rows_, of_ = np.concatenate(rows), np.concatenate(of)
-    by = np.argsort(of_, kind="stable")
-    return Words(rows_[by], of_[by], sizes, np.concatenate(every), np.concatenate([p.counts for p in parts]), names)
+    return Words(np.concatenate(rows), np.concatenate(of), np.concatenate(sizes), np.concatenate(every), np.concatenate(counts), names[np.argsort(numbers)])
 
 
 def words_of(texts: list[str], buckets: int = BUCKETS) -> Words:
@@ -126,7 +126,10 @@ class ToxicityModel:
         self.pull = self.table @ (self.softmax[:, 1] - self.softmax[:, 0])  # what a row adds to the difference of the classes
 
     def word_scores(self, w: Words) -> np.ndarray:
-        return np.bincount(w.of, self.pull[w.rows], minlength=len(w.sizes)) / w.sizes
+        total = np.zeros(len(w.sizes))
+        for s in range(0, len(w.of), 1 << 20):
+            total += np.bincount(w.of[s : s + (1 << 20)], self.pull[w.rows[s : s + (1 << 20)]], minlength=len(w.sizes))
+        return total / w.sizes
 
     def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """The difference of the classes in each window, and the text of each window."""
@@ -158,6 +161,7 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 30, rate: float =
         return model
     w = words_of_many(texts)
     window, word, text = windows_of(w)
+    trim()
     sizes = np.bincount(window, minlength=len(text))
     first_word = np.cumsum(sizes) - sizes
     first_row = np.cumsum(w.sizes.astype(int)) - w.sizes.astype(int)
