@@ -51,12 +51,13 @@ def maybe_broadcast(small: DataFrame, rows: int | None = None, limit: int = BROA
     return F.broadcast(small) if (small.count() if rows is None else rows) <= limit else small
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of about size characters from batches of two columns, an id and a text; a null text is empty. A longer text stands alone."""
     ids: list = []
     texts: list[str] = []
     n = 0
-    for b in batches:
+    parts = (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256))
+    for b in parts:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             t = t or ""
             if texts and n + len(t) > size:
