@@ -23,7 +23,7 @@ from .hashing import U, codepoints, mix, span_hashes
 
 BLANK = "▁"
 #: Distinct words that a process remembers, and how many are indexed at once.
-REMEMBERED, INDEXED = 200_000, 60_000
+REMEMBERED, INDEXED = 400_000, 60_000
 
 
 class Pieces:
@@ -51,6 +51,9 @@ class Pieces:
         self.id = {self.names[i]: i for i in plain}
         alphabet = sorted({ord(c) for i in plain for c in self.names[i]})
         self.alphabet = np.array(alphabet, np.uint32)
+        self.shown = [name.replace(BLANK, " ") for name in self.names]
+        self.odd = np.ones(n, bool)  # bytes, control pieces, unknown
+        self.odd[plain] = False
         self.longest = max(len(self.names[i]) for i in plain)
         self.width = -(-self.longest // 4) * 4
         self.plain = np.array(sorted(plain, key=lambda i: self.names[i]), np.int64)
@@ -222,24 +225,24 @@ class Pieces:
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Bytes are read as UTF-8, with U+FFFD for what isn't; control pieces are silent; ids out of the vocabulary are an error."""
+        x = np.asarray(ids, np.int64)
+        if len(x) and not 0 <= x.min() <= x.max() < len(self.names):
+            raise ValueError(f"no piece has the id {x.min() if x.min() < 0 else x.max()}")
+        listed = x.tolist()
         out: list[str] = []
         held = bytearray()
-        for i in map(int, ids):
-            if not 0 <= i < len(self.names):
-                raise ValueError(f"no piece has the id {i}")
-            b = self.byte_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
+        done = 0
+        for at in [*np.flatnonzero(self.odd[x]).tolist(), len(listed)]:
+            b = self.byte_of.get(listed[at]) if at < len(listed) else None
+            if held and (at > done or b is None):
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if i == self.unknown:
+            out.extend(map(self.shown.__getitem__, listed[done:at]))
+            if b is not None:
+                held.append(b)
+            elif at < len(listed) and listed[at] == self.unknown:
                 out.append(" ⁇ ")
-            elif i not in self.silent:
-                out.append(self.names[i].replace(BLANK, " "))
-        if held:
-            out.append(held.decode("utf-8", "replace"))
+            done = at + 1
         text = "".join(out)
         return text[1:] if text.startswith(" ") else text
 
@@ -261,7 +264,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
-        for keys, texts in text_chunks(batches):
+        for keys, texts in text_chunks(batches, 2 << 20):
             yield batch_of(_IDS, [keys, model.encode(texts)])
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -291,7 +294,7 @@ def digests(rows: DataFrame, path: str) -> DataFrame:
         for b in batches:
             ids, at = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
             each = [ids[s:e] for s, e in zip(at, at[1:], strict=False)]
-            texts = [model.decode(x.tolist()) for x in each]
+            texts = [model.decode(x) for x in each]
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
             yield batch_of(_DIGEST, [b.column(0), [len(x) for x in each], [zlib.crc32(x.astype("<u4").tobytes()) for x in each], [len(t) for t in texts], [hashlib.md5(x).hexdigest() for x in raw]])
 
