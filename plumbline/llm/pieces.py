@@ -65,7 +65,7 @@ class Pieces:
             codes = np.searchsorted(self.alphabet, [ord(c) for c in self.names[i]]) + 1
             low[row, : len(codes)] = high[row, : len(codes)] = codes
         self.low, self.high = (x.view(f"S{2 * self.width}").ravel() for x in (low, high))
-        self.apart: dict[int, bool] = {}
+        self.keys, self.good = np.zeros(0, np.int64), np.zeros(0, bool)  # what _stay_apart knows, sorted
         self.forget()
 
     def forget(self) -> None:
@@ -93,15 +93,21 @@ class Pieces:
         """For each key, last piece * pieces + next piece (the last none: the next stands alone), whether merging gives just these."""
         names, every = np.unique(keys, return_inverse=True)
         n = len(self.names)
-        known = []
-        for k in names.tolist():
-            ok = self.apart.get(k)
-            if ok is None:
+        at = np.searchsorted(self.keys, names)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == names[hit]
+        good = np.empty(len(names), bool)
+        good[hit] = self.good[at[hit]]
+        new = names[~hit]
+        if len(new):
+            fresh = []
+            for k in new.tolist():
                 a, b = divmod(k, n)
                 parts = [self.names[b]] if a == n else [self.names[a], self.names[b]]
-                ok = self.apart[k] = self.merged("".join(parts)) == parts
-            known.append(ok)
-        return np.array(known, bool)[every]
+                fresh.append(self.merged("".join(parts)) == parts)
+            good[~hit] = fresh
+            self.keys, self.good = np.insert(self.keys, at[~hit], new), np.insert(self.good, at[~hit], fresh)
+        return good[every]
 
     def _learn(self, names: list[int], words: list[str]) -> None:
         """Match and relax some distinct words together."""
@@ -205,8 +211,8 @@ class Pieces:
         names, first, every = np.unique(span_hashes(mix(codes.astype(U)), starts, ends), return_index=True, return_inverse=True)
         if len(self.place) > REMEMBERED:
             self.forget()
-        if len(self.apart) > 4 * REMEMBERED:
-            self.apart.clear()
+        if len(self.keys) > 8 * REMEMBERED:
+            self.keys, self.good = np.zeros(0, np.int64), np.zeros(0, bool)
         listed = names.tolist()
         new = [i for i, name in enumerate(listed) if name not in self.place]
         raw = codes.tobytes()
