@@ -2,15 +2,20 @@
 
 A word is the bag of its character 3- to 5-grams (with its borders) and itself, all hashed to rows of one embedding table, so a
 misspelling that was never seen shares most rows with the word. A window of words averages its distinct words, missing ones
-as zeros, so a word that a text repeats counts once; a linear softmax over two classes reads the average. A document scores as its most toxic window, so one insult in a long text counts like one in a short text.
-Only document labels exist, so training starts with every window of a toxic document and then keeps its most toxic one. The fit sees at most
-max_rows labelled rows; scoring reads every word of every text.
+as zeros, so a word that a text repeats counts once; a linear softmax over two classes reads the average. Windows start at every word.
+
+A document's score joins three things in a logistic regression: its most toxic window, what all of its distinct words tell beyond
+what words usually do, wherever they stand, and how many distinct words there are. Its weights are learnt from folds: each text is
+read by a model that did not learn from it, since a model's own texts look far surer than new ones. Only document labels exist, so
+training starts with windows of toxic documents side by side and then keeps their most toxic ones. The fit sees at most max_rows
+labelled rows; scoring reads every word of every text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,10 @@ from .rules import held_out, labelled
 #: The most labelled rows that a fit collects to the driver.
 MAX_ROWS = 3_000
 WINDOW = 6
+#: A word tells of toxicity by what its score has over so many standard deviations of all words' scores.
+BEYOND = 2.0
+#: Parts of the learning texts that are read by models learnt from the other parts.
+FOLDS = 3
 BUCKETS = 1 << 17
 DIM = 4
 
@@ -104,14 +113,22 @@ def words_of(texts: list[str], buckets: int = BUCKETS) -> Words:
     return Words(rows_, of_, np.bincount(of_, minlength=len(size)).astype(float), every, counts, names)
 
 
-def windows_of(w: Words, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The window and the word of each pair of them that occurs, by window, and the text of each window; a text without words has none."""
-    size = size or WINDOW
-    n = -(-w.counts // size)
-    first = np.cumsum(n) - n
-    place = np.arange(w.counts.sum()) - np.repeat(np.cumsum(w.counts) - w.counts, w.counts)
-    pairs = np.unique((np.repeat(first, w.counts) + place // size) * max(1, len(w.sizes)) + w.every)
-    return pairs // max(1, len(w.sizes)), pairs % max(1, len(w.sizes)), np.repeat(np.arange(len(w.counts)), n)
+def earlier(w: Words) -> np.ndarray:
+    """Of each place, the last one before it where its text has the same word; -1 without one."""
+    name = np.repeat(np.arange(len(w.counts)), w.counts) * max(1, len(w.sizes)) + w.every
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    out = np.full(len(name), -1)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def windows_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each window, the place behind its last one, and its text. A window starts at every word that has enough
+    others behind it, so no border cuts a phrase; a shorter text is one window, a text without words has none."""
+    n = np.where(w.counts > 0, np.maximum(1, w.counts - WINDOW + 1), 0)
+    begin = np.repeat(np.cumsum(w.counts) - w.counts, n) + _ranges(n)
+    return begin, begin + np.repeat(np.minimum(w.counts, WINDOW), n), np.repeat(np.arange(len(n)), n)
 
 
 @dataclass
@@ -119,7 +136,8 @@ class ToxicityModel:
     table: np.ndarray  # the embedding rows
     softmax: np.ndarray  # DIM x 2
     offset: np.ndarray  # of both classes
-    scale: float = 1.0
+    spread: float = 1.0  # the standard deviation of words' scores
+    weights: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))  # of features()
     shift: float = 0.0
 
     def __post_init__(self) -> None:
@@ -133,39 +151,84 @@ class ToxicityModel:
 
     def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """The difference of the classes in each window, and the text of each window."""
-        window, word, text = windows_of(w)
-        return self.over(w, window, word, len(text)), text
-
-    def over(self, w: Words, window: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(window, self.word_scores(w)[word], minlength=n) / WINDOW + self.offset[1] - self.offset[0]
+        begin, end, text = windows_of(w)
+        return self.over(w, earlier(w), begin, end), text
+
+    def over(self, w: Words, before: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        each = self.word_scores(w)[w.every]
+        total = np.zeros(len(begin))
+        for k in range(WINDOW):
+            at = np.minimum(begin + k, len(each) - 1)
+            total += np.where((begin + k < end) & (before[at] < begin), each[at], 0)
+        return total / WINDOW + self.offset[1] - self.offset[0]
+
+    def features(self, w: Words) -> np.ndarray:
+        """Of each text: the margin of its most toxic window, the evidence of all its distinct words and their number, both as
+        logarithms. A text without words has only the offset."""
+        s, text = self.windows(w)
+        most = np.full(len(w.counts), -np.inf)
+        np.maximum.at(most, text, s)
+        most = np.where(np.isinf(most), min(0.0, float(self.offset[1] - self.offset[0])), most)
+        once = earlier(w) < 0
+        doc, own = np.repeat(np.arange(len(w.counts)), w.counts)[once], w.every[once]
+        told = np.maximum(self.word_scores(w)[own] / WINDOW / self.spread - BEYOND, 0)
+        return np.stack([most / self.spread, np.log1p(np.bincount(doc, told, minlength=len(w.counts))), np.log1p(np.bincount(doc, minlength=len(w.counts)))], 1)
 
     def margins(self, w: Words) -> np.ndarray:
-        """Of each text's most toxic window; a text without words has only the offset."""
-        s, text = self.windows(w)
-        out = np.full(len(w.counts), -np.inf)
-        np.maximum.at(out, text, s)
-        return np.where(np.isinf(out), min(0.0, float(self.offset[1] - self.offset[0])), out)
+        return self.features(w) @ self.weights + self.shift
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        m = self.margins(words_of(texts))
-        return 1 / (1 + np.exp(-np.clip(self.scale * m + self.shift, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.margins(words_of(texts)), -60, 60)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 30, rate: float = 0.02, decay: float = 0.002, min_texts: int = 5, seed: int = 11) -> ToxicityModel:
+def fit(texts: list[str], toxic: np.ndarray, *, seed: int = 11, **how) -> ToxicityModel:
     """Without both classes the model is a constant."""
     y = np.asarray(toxic, int)
-    rng = np.random.default_rng(seed)
-    model = ToxicityModel(rng.normal(0, 0.01, (BUCKETS, DIM)), np.stack([-np.linspace(0.5, 1, DIM), np.linspace(0.5, 1, DIM)], 1), np.zeros(2))
     if not len(y) or y.min() == y.max():
-        model.scale, model.shift = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        model = _start(np.random.default_rng(seed))
+        model.weights, model.shift = np.zeros(3), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         return model
+    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]) % FOLDS  # equal texts share one
     w = words_of_many(texts)
-    window, word, text = windows_of(w)
     trim()
-    sizes = np.bincount(window, minlength=len(text))
-    first_word = np.cumsum(sizes) - sizes
+    model = learn(w, y, np.ones(len(y), bool), seed=seed, **how)
+    x = model.features(w)
+    if all(len(np.unique(y[fold != k])) == 2 for k in range(FOLDS)):
+        for k in range(FOLDS):
+            x[fold == k] = learn(w, y, fold != k, seed=seed, **how).features(w)[fold == k]
+            trim()
+    centre, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
+    q = np.concatenate([(x - centre) / spread, np.ones((len(y), 1))], 1)
+    light = np.diag([0.1, 0.1, 0.1, 0.0])
+    b = np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(q @ b, -60, 60)))
+        h = p * (1 - p) + 1e-6
+        b -= np.clip(np.linalg.solve((q * h[:, None]).T @ q + light, q.T @ (p - y) + light @ b), -2, 2)
+    b[:2] = np.maximum(b[:2], 0)
+    model.weights = b[:3] / spread
+    model.shift = float(b[3] - model.weights @ centre)
+    return model
+
+
+def _start(rng: np.random.Generator) -> ToxicityModel:
+    return ToxicityModel(rng.normal(0, 0.01, (BUCKETS, DIM)), np.stack([-np.linspace(0.5, 1, DIM), np.linspace(0.5, 1, DIM)], 1), np.zeros(2))
+
+
+def learn(w: Words, y: np.ndarray, use: np.ndarray, *, epochs: int = 30, rate: float = 0.02, decay: float = 0.002, min_texts: int = 5, seed: int = 11) -> ToxicityModel:
+    """The embeddings and the softmax from the texts in use, which have both classes."""
+    rng = np.random.default_rng(seed)
+    model = _start(rng)
+    begin, end, text = windows_of(w)
+    begin, end, text = begin[use[text]], end[use[text]], text[use[text]]
+    if not len(np.unique(y[text])) == 2:  # a class without any words
+        return model
+    before = earlier(w)
+    first_of = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    phase = np.where(np.maximum(1, w.counts - WINDOW + 1)[text] == 1, -1, (begin - (np.cumsum(w.counts) - w.counts)[text]) % WINDOW)
+    trim()
     first_row = np.cumsum(w.sizes.astype(int)) - w.sizes.astype(int)
-    bad, good = np.flatnonzero(y[text] == 1), np.flatnonzero(y[text] == 0)
+    good = np.flatnonzero(y[text] == 0)
     params = [model.table, model.softmax, model.offset]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
@@ -173,27 +236,28 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 30, rate: float =
     seen = np.zeros(BUCKETS, np.int64)
     ends = np.cumsum(w.counts)
     lengths = w.sizes.astype(int)
-    for e, c in zip(ends.tolist(), w.counts.tolist(), strict=True):
+    for e, c in zip(ends[use].tolist(), w.counts[use].tolist(), strict=True):
         own = np.unique(w.every[e - c : e])
         seen[np.unique(w.rows[np.repeat(first_row[own], lengths[own]) + _ranges(lengths[own])])] += 1
     rare = seen < min_texts
     model.table[rare] = 0
     for epoch in range(epochs):
         model.__post_init__()
-        s = model.over(w, window, word, len(text))
-        if epoch < epochs // 4:
+        if epoch < epochs // 4:  # windows side by side, from another border each time
+            bad = np.flatnonzero((y[text] == 1) & ((phase == epoch % WINDOW) | (phase < 0)))
             pick = np.concatenate([bad, rng.choice(good, min(len(good), 2 * len(bad)), replace=False)])
         else:  # the most toxic window of every text, and others of clean texts
-            order = np.lexsort([s, text])
-            top = order[np.concatenate([text[order][1:] != text[order][:-1], [True]])]
+            s = model.over(w, before, begin, end)
+            most = np.flatnonzero(s == np.repeat(np.maximum.reduceat(s, first_of), np.diff(np.append(first_of, len(s)))))
+            top = most[np.concatenate([[True], text[most][1:] != text[most][:-1]])]
             pick = np.concatenate([top, rng.choice(good, min(len(good), len(top)), replace=False)])
         pick = rng.permutation(pick)
         for chosen in np.array_split(pick, max(1, len(pick) // 4096)):
             target = y[text[chosen]]
             weight = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))
-            words = np.repeat(first_word[chosen], sizes[chosen]) + _ranges(sizes[chosen])
-            bag = np.repeat(np.arange(len(chosen)), sizes[chosen])
-            each = word[words]
+            at = begin[chosen, None] + np.arange(WINDOW)
+            bag, k = np.nonzero((at < end[chosen, None]) & (before[np.minimum(at, len(before) - 1)] < begin[chosen, None]))
+            each = w.every[at[bag, k]]
             count = w.sizes[each].astype(int)
             rows = w.rows[np.repeat(first_row[each], count) + _ranges(count)]
             share = np.repeat(1 / (w.sizes[each] * WINDOW), count)
@@ -214,18 +278,8 @@ def fit(texts: list[str], toxic: np.ndarray, *, epochs: int = 30, rate: float =
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-7)
             model.table *= 1 - decay
     model.__post_init__()
-    # the margin's meaning: a logistic regression in one variable
-    m = model.margins(w)
-    centre, spread = m.mean(), max(m.std(), 1e-6)
-    q, a, b = (m - centre) / spread, 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * q + b, -60, 60)))
-        h = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * q).sum() + 1e-2 * a, (p - y).sum()])
-        hess = np.array([[(h * q * q).sum() + 1e-2, (h * q).sum()], [(h * q).sum(), h.sum()]])
-        move = np.clip(np.linalg.solve(hess, g), -2, 2)
-        a, b = a - move[0], b - move[1]
-    model.scale, model.shift = float(max(a, 0) / spread), float(b - max(a, 0) * centre / spread)
+    used = np.unique(w.every[np.repeat(use, w.counts)])
+    model.spread = max(float(model.word_scores(w)[used].std()) / WINDOW, 1e-6)
     return model
 
 

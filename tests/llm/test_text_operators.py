@@ -186,3 +186,21 @@ def test_cutting_stock_covers_everything():
 
 def test_oracles_are_registered():
     assert set(ORACLE_SQL) == {"op3_line_dedup", "op7_exact_top_k", "op10_sharding"}
+
+
+def test_toxicity_reads_the_whole_text():
+    import numpy as np
+
+    rng = random.Random(12)
+    noise = ["".join(rng.choices("bdfgknprstvz", k=6)) for _ in range(300)]
+
+    def text(k):
+        words = rng.choices(noise, k=60)
+        for place, word in zip(rng.sample(range(0, 60, 12), k), rng.sample(["achlor", "achlim", "achlen", "achlut"], k), strict=True):
+            words[place] = word  # never two of them in one window
+        return " ".join(words)
+
+    counts = [4 if i % 4 == 0 else int(i % 10 == 1) for i in range(600)]
+    model = toxicity.fit([text(k) for k in counts], np.array([k == 4 for k in counts]))
+    many, one = (model.scores([text(k) for _ in range(100)]) for k in (4, 1))
+    assert (many[:, None] > one[None, :]).mean() > 0.95
