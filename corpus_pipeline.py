@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates (five words, 0.8), rows without a doc_id, and of rows that repeat a kept doc_id each."""
-    found = partenum.near_duplicates(docs, "0.8", 5)
+    found = partenum.near_duplicates(docs, "0.8", 5, count=False)
     out = found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
     return docs.select(COLUMNS).join(out, "doc_id", "left_anti").select(COLUMNS)
 

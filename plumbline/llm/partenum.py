@@ -9,8 +9,9 @@ bridge between them. A few spare first-level partitions let a set leave out thos
 Documents with equal sets are one node. Signatures are dealt by their hash as packed arrays, a group of equal signatures names a
 pivot, and every node is first verified against the pivot that it shares most signatures with. Members of a group that are then in
 different components are compared by parity sketches, which never lose a link: a short one, then one that grows with its sets. What is
-left is verified exactly. Pairs inside a component are never made, so a group of n near copies costs about n
-rows.
+left is verified exactly. Pairs inside a component are not needed to find it, so a group of n near copies costs about n rows. All
+links of a node lie in its component: to count them, its members are dealt to blocks, and each pair of blocks is compared exactly
+in memory, all with all, and gives only a sum for each node.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .hashing import U, mix, mix_int, shingle_sets
 SKETCH = 512
 #: Sets of so many features or more are compared by their long sketches, too, within a group: the short one tells too little there.
 LARGE = 400
+#: Nodes of a component that a block has, about.
+BLOCK = 256
 #: Signatures that a task holds before it passes them on.
 HELD = 1 << 21
 
@@ -106,6 +109,7 @@ _NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64
 _BLOBS = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("packed", pa.binary())])
 _GROUPS = pa.schema([("gid", pa.int64()), ("chunk", pa.int32()), ("pivot", pa.int64()), ("weight", pa.int64()), ("members", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("features", pa.binary())])
+_COUNTS = pa.schema([("node", pa.int64()), ("links", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -329,12 +333,58 @@ def _apart(g: Fraction, nearest: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8", words: int = 5, *, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, links) of every row of docs.
+def _counted(g: Fraction):
+    """The documents of other nodes that each node of two blocks links to. Rows come sorted by label, lo and hi."""
+
+    def done(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, block, hi, copies, raw = (list(c) for c in zip(*held, strict=True))
+        sets = [np.frombuffer(f, U) for f in raw]
+        n, same = np.array([len(s) for s in sets]), max(hi) == min(block)
+        copies_, far = np.array(copies), np.array(block) == hi[0]
+        x, y = np.arange(len(n)) if same else np.flatnonzero(~far), np.flatnonzero(far)
+        if len(x) and len(y):
+            _, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            who = np.repeat(np.arange(len(n)), n)[times[of] > 1]  # what only one set has is in no two
+            of = (np.cumsum(times > 1) - 1)[of][times[of] > 1]
+            order = np.argsort(of, kind="stable")
+            of, who = of[order], who[order]
+            both = np.zeros((len(x), len(y)))
+            for c in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
+                s, e = np.searchsorted(of, [c, c + 4096])
+                has = np.zeros((len(n), 4096), np.float32)
+                has[who[s:e], of[s:e] - c] = 1
+                both += has[x] @ has[y].T
+            both = both.astype(np.int64)
+            link = g.denominator * both >= g.numerator * (n[x, None] + n[None, y] - both)
+            if same:
+                np.fill_diagonal(link, False)
+            total = np.zeros(len(n), np.int64)
+            total[x] += link @ copies_[y]
+            if not same:
+                total[y] += copies_[x] @ link
+            yield batch_of(_COUNTS, [node, total])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            for label, lo, hi, node, block, copies, features in zip(*(batch.column(c).to_pylist() for c in ("label", "lo", "hi", "node", "block", "copies", "features")), strict=True):
+                if held and (label, lo, hi) != last:
+                    yield from done(held)
+                    held = []
+                last = (label, lo, hi)
+                held.append((node, block, hi, copies, features))
+        if held:
+            yield from done(held)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8", words: int = 5, *, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, links) of every row of docs; without count, no links.
 
     Two documents link when the Jaccard similarity of their sets of distinct shingles is similarity or more; component_id is the
-    smallest doc_id reachable by links, itself included. links: verified links of the document's set to other sets (those that were
-    needed to find the component). Null and empty texts have no shingles, link with nothing and are their own component. Rows that
+    smallest doc_id reachable by links, itself included. links: the documents other than it, by
+    doc_id, that the row's text links with, those of equal sets included; one that has several different sets counts for each. Null and empty texts have no shingles, link with nothing and are their own component. Rows that
     repeat a doc_id count as one document that has all their links. A null doc_id keeps a row with its n_shingles and a null
     component_id, and takes no part. Other columns of docs, whatever their names, are not read.
     """
@@ -392,11 +442,26 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
             old, found = found, materialize(components(links, "a", "b"), "components")
             discard(old)
 
-    # of every node that has copies or links: the smallest document of its component, and its links
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    many = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
-    many = many.join(found, "node", "left").join(degree, "node", "left").where("label is not null or top > rep").select("node", "rep", F.coalesce("label", "node").alias("label"), "links")
+    # of every node that has copies or links: the smallest document of its component
+    many = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.countDistinct("doc_id").alias("copies"))
+    many = many.join(found, "node", "left").where("label is not null or top > rep").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     low = many.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = many.join(low, "label").select("node", "component_id", "links")
-    out = nodes.select("doc_id", "n", "node").join(of, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    of = many.join(low, "label").select("node", "component_id", "copies")
+    out = nodes.select("doc_id", "n", "node")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    if not count:
+        return out.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+
+    # all links of a node lie in its component: blocks of its members, each with each
+    sizes = found.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = materialize(found.join(sizes, "label").join(many.select("node", "rep", "copies"), "node").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")), "members")
+    few = maybe_broadcast(member.select(F.col("rep").alias("doc_id")).distinct(), member.count())
+    sets = named.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), _as_spark(_SETS)).dropDuplicates(["node"])
+    other = member.select("node", "label", "block", "copies", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = other.select("node", "label", "block", "copies", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(sets, "node")
+    dealt = dealt.repartition(partitions(spark), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+    summed = dealt.mapInArrow(_counted(g), _as_spark(_COUNTS)).groupBy("node").agg(F.sum("links").alias("links"))
+    summed = materialize(summed, "counts")
+    discard(member)
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(0).cast("long").alias("links")
+    return out.join(of.join(summed, "node", "left"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component, own)

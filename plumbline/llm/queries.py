@@ -23,7 +23,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.near_duplicates(table(spark, sf_dir, "documents"), "0.9", 3).select("doc_id", "n_shingles", "component_id")
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"), "0.9", 3).select("doc_id", "n_shingles", "component_id", "links")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

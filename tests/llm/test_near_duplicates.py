@@ -97,3 +97,13 @@ def test_sketches_never_lose_a_link():
         assert np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= len(np.setxor1d(a, b))
         cells = np.unpackbits(fold(y, SKETCH // 8))
         assert len(cells) == SKETCH and cells.sum() <= len(b)
+
+
+@pytest.mark.parametrize("block", [256, 5])
+def test_links_are_counted_whole(docs_of, monkeypatch, block):
+    monkeypatch.setattr("plumbline.llm.partenum.BLOCK", block)
+    rows = [*copies(4, n=3, group=20), (800, "One two three four"), (801, "one TWO three four"), (802, None), (None, "one two three four")]
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, (t or "").lower().split()) for i, t in rows) if i is not None}
+    want = {i: sum(10 * len(a & b) >= 9 * len(a | b) for j, b in sets.items() if j != i and a and b) for i, a in sets.items()}
+    got = {r.doc_id: r.links for r in near_duplicates(docs_of(rows), "0.9", 3).collect()}
+    assert {i: n for i, n in got.items() if i is not None} == want and got[None] == 0 and max(want.values()) > 2
