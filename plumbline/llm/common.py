@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,14 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import forget
+
 #: A side of a join is broadcast up to so many rows of a few longs each; beyond it, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of our own where that is unset and there are no other machines (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_plumbline_dir", None) or tempfile.mkdtemp(prefix="plumbline-")
         spark._plumbline_dir = found
     return found.rstrip("/")
@@ -73,7 +78,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Itera
 
 
 def trim() -> None:
-    """Give freed memory back to the system, where its C library can: worker processes live on after a task."""
+    """Drop tables of powers and give freed memory back to the system, where its C library can: worker processes live on after a task."""
+    forget()
     pa.default_memory_pool().release_unused()
     if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
         give_back(0)

@@ -39,6 +39,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return t[:n]
 
 
+def forget() -> None:
+    """Drop the tables of powers; they grow with the longest run of codes and are made again when needed."""
+    _tables.clear()
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of codes[start:end] for each span, from one running sum; codes are already spread over 64 bits."""
     n = len(codes)

@@ -3,13 +3,15 @@
 Sets are put in bands of about equal size. Two sets of a band with a Jaccard similarity of gamma or more differ in at most k
 features, k known from the band. The features' domain is dealt by a hash into n1 first-level partitions, each into n2 second-level
 ones; some first-level partition holds at most k2 of the differences, so both sets agree on some n2 - k2 of its second-level
-partitions, and the hash of what a set has there is a signature that both share. Sets near a border of two bands also sign for a
-bridge between them. A few spare first-level partitions let a set leave out those where it has too little to tell it apart.
+partitions, and the hash of what a set has there is a signature that both share. A set also signs for every pair of its band and
+another one that can hold a set that it links with, however far apart the similarity lets them be. A few spare first-level partitions
+let a set leave out signatures over too few features to tell it apart; sets that agree on a signature agree on leaving it out.
 
 Documents with equal sets are one node. Signatures are dealt by their hash as packed arrays, a group of equal signatures names a
 pivot, and every node is first verified against the pivot that it shares most signatures with. Members of a group that are then in
 different components are compared by parity sketches, which never lose a link: a short one, then one that grows with its sets. What is
-left is verified exactly. Pairs inside a component are not needed to find it, so a group of n near copies costs about n rows. All
+left is verified exactly. Pairs inside a component are not needed to find it, so a group of n near copies costs about n rows; a
+large group that is compared is dealt to blocks, and pairs of blocks to tasks. All
 links of a node lie in its component: to count them, its members are dealt to blocks, and each pair of blocks is compared exactly
 in memory, all with all, and gives only a sum for each node.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, discard, materialize, maybe_broadcast, partitions, text_chunks
+from .common import batch_of, discard, materialize, maybe_broadcast, partitions, text_chunks, trim
 from .components import components
 from .hashing import U, mix, mix_int, shingle_sets
 
@@ -33,10 +35,10 @@ from .hashing import U, mix, mix_int, shingle_sets
 SKETCH = 512
 #: Sets of so many features or more are compared by their long sketches, too, within a group: the short one tells too little there.
 LARGE = 400
-#: Nodes of a component that a block has, about.
-BLOCK = 256
+#: Nodes of a component that a block has, about, where links are counted; of a group, where its members are compared by sketches.
+BLOCK, WIDE = 512, 2048
 #: Signatures that a task holds before it passes them on.
-HELD = 1 << 21
+HELD = 1 << 19
 
 
 class Scheme:
@@ -47,30 +49,43 @@ class Scheme:
         if not 0 < self.g <= 1:
             raise ValueError("the similarity must be over 0 and at most 1")
         self.tops = [0]
+        self.known: dict[int, list[tuple[int, int, int]]] = {}
         self.choices = list(itertools.combinations(range(n2), n2 - k2))
 
     def differences(self, total: int) -> int:
         """The most features that two sets of total features together may differ in."""
         return int((1 - self.g) * total / (1 + self.g))
 
-    def instances(self, m: int) -> list[tuple[int, int]]:
-        """(instance, k) for which a set of m features signs."""
+    def band(self, m: int) -> int:
         while self.tops[-1] < m:
             low = self.tops[-1] + 1
             self.tops.append(max(low, int(low * self.ratio)))
-        b = int(np.searchsorted(self.tops, m))
-        bridge = lambda top: self.differences(top + int(top / self.g))
-        out = [(2 * b, self.differences(2 * self.tops[b]))]
-        if m >= (self.tops[b] + 1) * self.g:
-            out.append((2 * b + 1, bridge(self.tops[b])))
-        if b > 1 and m <= int(self.tops[b - 1] / self.g):
-            out.append((2 * b - 1, bridge(self.tops[b - 1])))
-        return [(i, k) for i, k in out if k]  # where none may differ, sets are equal and one node
+        return int(np.searchsorted(self.tops, m))
+
+    def instances(self, m: int) -> list[tuple[int, int, int]]:
+        """(lower band, upper band, k) for which a set of m features signs: all pairs of its band and one that can hold a set linked with it."""
+        if m in self.known:
+            return self.known[m]
+        b, most = self.band(m), int(m / self.g)
+        self.band(most)
+        out = []
+        for low in range(b, 0, -1):
+            if self.tops[low] < m * self.g:
+                break
+            out.append((low, b))
+        for high in range(b + 1, len(self.tops)):
+            if self.tops[high - 1] + 1 > most:
+                break
+            out.append((b, high))
+        differ = lambda x, y: self.differences(self.tops[x] + min(self.tops[y], int(self.tops[x] / self.g)))
+        self.known[m] = [(x, y, k) for x, y in out if (k := differ(x, y))]  # where none may differ, sets are equal and one node
+        return self.known[m]
 
     def signatures(self, features: np.ndarray) -> np.ndarray:
         found = []
         w = mix(features ^ U(0x5851F42D4C957F2D))
-        for inst, k in self.instances(len(features)):
+        for low, high, k in self.instances(len(features)):
+            inst = low * 4096 + high
             base = k // (self.k2 + 1) + 1
             spare = base // self.spare
             n1 = base + spare
@@ -79,10 +94,11 @@ class Scheme:
             np.add.at(sums, cell, w)
             sums, sizes = sums.reshape(n1, self.n2), np.bincount(cell, minlength=n1 * self.n2).reshape(n1, self.n2)
             sub = np.stack([sums[:, c].sum(1, dtype=U) for c in self.choices], 1)
-            weak = np.stack([sizes[:, c].sum(1) for c in self.choices], 1).min(1) < self.least
+            weak = np.stack([sizes[:, c].sum(1) for c in self.choices], 1) < self.least
             sub = mix(sub + mix(U(mix_int(~inst)) + np.arange(sub.size, dtype=U).reshape(sub.shape)))
-            # at least spare + 1 partitions agree on a linked set, so up to spare of them can be left out
-            found.append((sub[~weak] if weak.sum() <= spare else sub).ravel())
+            # Linked sets agree in spare + 1 first-level partitions or more. A set with weak signatures in at most spare of them has
+            # none in one of those, and what the sets agree on there is as strong in the other set: both give it.
+            found.append(sub[~weak] if weak.any(1).sum() <= spare else sub.ravel())
         return np.concatenate(found) if found else np.zeros(0, U)
 
 
@@ -107,7 +123,7 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
 
 _NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("long", pa.binary())])
 _BLOBS = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("packed", pa.binary())])
-_GROUPS = pa.schema([("gid", pa.int64()), ("chunk", pa.int32()), ("pivot", pa.int64()), ("weight", pa.int64()), ("members", pa.list_(pa.int64()))])
+_GROUPS = pa.schema([("gid", pa.int64()), ("chunk", pa.int32()), ("pivot", pa.int64()), ("size", pa.int64()), ("weight", pa.int64()), ("members", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("features", pa.binary())])
 _COUNTS = pa.schema([("node", pa.int64()), ("links", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -168,47 +184,62 @@ def _signed(words: int, scheme: Scheme, parts: int):
                         nodes, signs, n, seen = [], [], 0, set()
         if nodes:
             yield from flush(nodes, signs)
+        nodes, signs, seen = [], [], set()
+        trim()
 
     return run
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The groups of two or more nodes with a signature in common; equal groups of a task once, with their number as weight."""
-    parts, names, keys = [], [], []
+    """The groups of two or more nodes with a signature in common; equal groups of a part once, with their number as weight. Rows come sorted by part; one part is held at a time."""
+
+    def done(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        size = sum(len(x) for _, x in held) // 8
+        key, name = np.empty(size, U), np.empty(size, np.int64)
+        at = 0
+        for nodes, packed in held:
+            x = np.frombuffer(packed, U)
+            key[at : at + len(x)] = x & U(0xFFFFFFFFFFFF0000)
+            name[at : at + len(x)] = np.frombuffer(nodes, np.int64)[(x & U(0xFFFF)).astype(np.intp)]
+            at += len(x)
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        key, name = key[order], name[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(key)))
+        del key
+        found: dict[bytes, int] = {}
+        for f, s in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            members = np.unique(name[f : f + s])
+            if len(members) > 1:
+                k = members.tobytes()
+                found[k] = found.get(k, 0) + 1
+        rows: list[list] = [[] for _ in _GROUPS]
+        n = 0
+        for members, weight in found.items():
+            m = np.frombuffer(members, np.int64)
+            gid = int(mix(np.array([mix(m.astype(U)).sum(dtype=U)], U))[0] >> U(1))
+            for c in range(0, len(m), 4096):
+                for column, v in zip(rows, (gid, c // 4096, int(m[0]), len(m), weight, m[c : c + 4096]), strict=True):
+                    column.append(v)
+                n += min(4096, len(m) - c)
+                if n > 1 << 16:
+                    yield batch_of(_GROUPS, rows)
+                    rows, n = [[] for _ in _GROUPS], 0
+        if rows[0]:
+            yield batch_of(_GROUPS, rows)
+
+    last, held = None, []
     for b in batches:
         for p, nodes, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            x, who = np.frombuffer(packed, U), np.frombuffer(nodes, np.int64)
-            keys.append(x & U(0xFFFFFFFFFFFF0000))
-            names.append(who[(x & U(0xFFFF)).astype(np.intp)])
-            parts.append(np.full(len(x), p, np.int32))
-    if not keys:
-        return
-    key, name, part = np.concatenate(keys), np.concatenate(names), np.concatenate(parts)
-    del keys, names, parts
-    key = key ^ mix(part.astype(U) + U(1))  # parts that share a task stay apart
-    order = np.argsort(key, kind="stable")
-    key, name = key[order], name[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.concatenate([first, [len(key)]]))
-    found: dict[bytes, list] = {}
-    for f, s in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        members = np.unique(name[f : f + s])
-        if len(members) > 1:
-            found.setdefault(members.tobytes(), [0])[0] += 1
-    rows: list[list] = [[] for _ in _GROUPS]
-    n = 0
-    for members, (weight,) in found.items():
-        m = np.frombuffer(members, np.int64)
-        gid = int(mix(np.array([mix(m.astype(U)).sum(dtype=U)], U))[0] >> U(1))
-        for c in range(0, len(m), 4096):
-            for column, v in zip(rows, (gid, c // 4096, int(m[0]), weight, m[c : c + 4096]), strict=True):
-                column.append(v)
-            n += min(4096, len(m) - c)
-        if n > 1 << 18:
-            yield batch_of(_GROUPS, rows)
-            rows, n = [[] for _ in _GROUPS], 0
-    if rows[0]:
-        yield batch_of(_GROUPS, rows)
+            if held and p != last:
+                yield from done(held)
+            last = p
+            held.append((nodes, packed))
+    if held:
+        yield from done(held)
+    trim()
 
 
 def _sets(words: int):
@@ -265,9 +296,10 @@ def _verified(g: Fraction):
 
 def _apart(g: Fraction, nearest: bool):
     """Pairs of a group's members in different components that their sizes and sketches allow to be links; with nearest, only that
-    of each member whose short sketches differ least, else those that the long ones of large sets allow, too. Rows come sorted by gid and n; a task gives a pair once for many groups in a row."""
+    of each member whose short sketches differ least, else those that the long ones of large sets allow, too. Rows come sorted by gid, lo
+    and hi, two blocks of a group; of two different ones only pairs across are given. A task gives a pair once for many groups in a row."""
 
-    def pairs(n: np.ndarray, label: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(n: np.ndarray, label: np.ndarray, side: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of the pairs' members, which are sorted by n."""
         best, whom = np.full(len(n), np.inf), np.full(len(n), -1)
         for i in range(0, len(n), 256):
@@ -276,7 +308,7 @@ def _apart(g: Fraction, nearest: bool):
                 x, y = slice(i, min(i + 256, len(n))), slice(j, min(j + 4096, stop))
                 total = n[x, None] + n[None, y]
                 most = total * (g.denominator - g.numerator) // (g.denominator + g.numerator)
-                ok = (label[x, None] != label[None, y]) & (n[None, y] * g.numerator <= n[x, None] * g.denominator)
+                ok = (label[x, None] != label[None, y]) & (side[x, None] != side[None, y]) & (n[None, y] * g.numerator <= n[x, None] * g.denominator)
                 if i + 256 > j:
                     ok &= np.arange(len(n))[x, None] < np.arange(len(n))[None, y]
                 apart = np.zeros(total.shape, np.int64)
@@ -308,7 +340,9 @@ def _apart(g: Fraction, nearest: bool):
                 sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(len(t), -1)
                 n, node, large = t["n"].to_numpy()[order], t["node"].to_numpy()[order], t["long"].take(order).to_pylist()
                 long = [None if v is None else np.frombuffer(v, np.uint8) for v in large]
-                for p, q in pairs(n, t["label"].to_numpy()[order], sketch[order]):
+                block, lo = t["block"].to_numpy()[order], t["lo"][0].as_py()
+                side = np.where(block == lo, 0, 1) if lo != t["hi"][0].as_py() else np.arange(len(n))
+                for p, q in pairs(n, t["label"].to_numpy()[order], side, sketch[order]):
                     a, b = node[p], node[q]
                     places = zip(p.tolist(), q.tolist(), strict=True)
                     new = {k: v for k, v in zip(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True), places, strict=True) if k not in seen}
@@ -320,15 +354,19 @@ def _apart(g: Fraction, nearest: bool):
                         yield batch_of(_PAIRS, list(zip(*found, strict=True)))
                 held.clear()
 
+        last = None
         for batch in batches:
-            gid = batch.column("gid").to_numpy()
-            cut = [0, *(np.flatnonzero(np.diff(gid)) + 1).tolist(), len(gid)]
+            gid, lo, hi = (batch.column(c).to_numpy() for c in ("gid", "lo", "hi"))
+            cut = [0, *(np.flatnonzero((np.diff(gid) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1).tolist(), len(gid)]
             for s, e in itertools.pairwise(cut):
                 if s < e:
-                    if held and held[-1].column("gid")[0].as_py() != gid[s]:
+                    if last != (now := (gid[s], lo[s], hi[s])):
                         yield from done()
+                    last = now
                     held.append(batch.slice(s, e - s))
         yield from done()
+        seen.clear()
+        trim()
 
     return run
 
@@ -349,9 +387,9 @@ def _counted(g: Fraction):
             order = np.argsort(of, kind="stable")
             of, who = of[order], who[order]
             both = np.zeros((len(x), len(y)))
-            for c in range(0, int(of[-1]) + 1 if len(of) else 0, 4096):
-                s, e = np.searchsorted(of, [c, c + 4096])
-                has = np.zeros((len(n), 4096), np.float32)
+            for c in range(0, int(of[-1]) + 1 if len(of) else 0, 1024):
+                s, e = np.searchsorted(of, [c, c + 1024])
+                has = np.zeros((len(n), 1024), np.float32)
                 has[who[s:e], of[s:e] - c] = 1
                 both += has[x] @ has[y].T
             both = both.astype(np.int64)
@@ -375,17 +413,27 @@ def _counted(g: Fraction):
                 held.append((node, block, hi, copies, features))
         if held:
             yield from done(held)
+            held = []
+        trim()
 
     return run
 
 
+def _blocks(members: DataFrame, wide: int) -> DataFrame:
+    """members, with the number `size` of those they stand with, dealt to blocks of about wide: a row for each block that its own meets, as lo and hi."""
+    blocks = F.ceil(F.col("size") / wide).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "size")
+    return dealt
+
+
 def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8", words: int = 5, *, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None, count: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, links) of every row of docs; without count, no links.
 
     Two documents link when the Jaccard similarity of their sets of distinct shingles is similarity or more; component_id is the
     smallest doc_id reachable by links, itself included. links: the documents other than it, by
     doc_id, that the row's text links with, those of equal sets included; one that has several different sets counts for each. Null and empty texts have no shingles, link with nothing and are their own component. Rows that
-    repeat a doc_id count as one document that has all their links. A null doc_id keeps a row with its n_shingles and a null
+    repeat a doc_id count as one document that has all their links; a row without shingles is its own component even then. A null doc_id keeps a row with its n_shingles and a null
     component_id, and takes no part. Other columns of docs, whatever their names, are not read.
     """
     spark = docs.sparkSession
@@ -394,43 +442,52 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     nodes = materialize(docs.mapInArrow(_nodes(words), _as_spark(_NODES)), "nodes")
     named = docs.where("doc_id is not null")
+    whole = nodes.where("node is not null and doc_id is not null")
+    lowest = F.min(F.struct("doc_id", "n", "sketch", "long"))
+    reps = whole.groupBy("node").agg(lowest.alias("low"), F.max("doc_id").alias("top"))
+    reps = materialize(reps.select("node", F.col("low.doc_id").alias("rep"), "top", F.col("low.n").alias("n"), F.col("low.sketch").alias("sketch"), F.col("low.long").alias("long")), "reps")
 
     parts = 4 * partitions(spark)
-    blobs = named.mapInArrow(_signed(words, scheme, parts), _as_spark(_BLOBS)).repartition(partitions(spark), "part")
+    blobs = named.mapInArrow(_signed(words, scheme, parts), _as_spark(_BLOBS)).repartition(partitions(spark), "part").sortWithinPartitions("part")
     groups = blobs.mapInArrow(_grouped, _as_spark(_GROUPS))
-    groups = materialize(groups.groupBy("gid", "chunk").agg(F.first("pivot").alias("pivot"), F.sum("weight").alias("weight"), F.first("members").alias("members")), "groups")
-
-    whole = nodes.where("node is not null and doc_id is not null")
-    reps = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("long").alias("long"))
+    groups = materialize(groups.groupBy("gid", "chunk").agg(F.first("pivot").alias("pivot"), F.first("size").alias("size"), F.sum("weight").alias("weight"), F.first("members").alias("members")), "groups")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs. The sets of those that pass the screen are made again from the texts of one document each."""
-        x = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"))
-        y = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"))
-        pairs = materialize(pairs.join(y, "b").join(x, "a").mapInArrow(_screened(g), _as_spark(_PAIRS)), "screened")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(reps.select("node", "rep").join(wanted, "node", "left_semi"), "wanted")
+        ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
+        asked = materialize(ends(pairs), "asked")
+        asked_reps = materialize(reps.join(maybe_broadcast(asked), "node", "left_semi").select("node", "rep", "n", "long"), "asked-reps")
+        x = asked_reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"))
+        y = asked_reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"))
+        screened = materialize(pairs.join(y, "b").join(x, "a").mapInArrow(_screened(g), _as_spark(_PAIRS)), "screened")
+        wanted = materialize(asked_reps.select("node", "rep").join(ends(screened), "node", "left_semi"), "wanted")
         few = maybe_broadcast(wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.count())
         sets = named.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), _as_spark(_SETS)).dropDuplicates(["node"])
         a = sets.select(F.col("node").alias("a"), F.col("features").alias("fa"))
         b = sets.select(F.col("node").alias("b"), F.col("features").alias("fb"))
-        found = materialize(pairs.join(b, "b").join(a, "a").mapInArrow(_verified(g), _as_spark(_PAIRS)).distinct(), "verified")
-        discard(wanted, pairs)
+        found = materialize(screened.join(b, "b").join(a, "a").mapInArrow(_verified(g), _as_spark(_PAIRS)).distinct(), "verified")
+        discard(wanted, screened, asked, asked_reps)
         return found
 
     shared = groups.select("pivot", "weight", F.explode("members").alias("node")).where("node <> pivot").groupBy("node", "pivot").agg(F.sum("weight").alias("weight"))
     best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("weight", -F.col("pivot"))).alias("pivot"))
     tested = materialize(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "tested")
-    links = verified(tested)
+    # texts under one doc_id are one document
+    several = whole.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    several = materialize(several, "several")
+    bridges = whole.join(maybe_broadcast(several), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = verified(tested).union(materialize(bridges, "bridges"))
     found = materialize(components(links, "a", "b"), "components")
 
     # what a group has in different components: first each member's nearest, which joins most of them, then every pair that is left
     for nearest in (True, True, False):
         long = F.lit(None).cast("binary") if nearest else F.when(F.col("n") >= LARGE, F.col("long"))
-        member = groups.select("gid", F.explode("members").alias("node")).join(found, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
+        member = groups.select("gid", "size", F.explode("members").alias("node")).join(found, "node", "left").select("gid", "size", "node", F.coalesce("label", "node").alias("label"))
         mixed = member.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-        rest = member.join(mixed, "gid", "left_semi").join(reps.select("node", "n", "sketch", long.alias("long")), "node").select("gid", "node", "label", "n", "sketch", "long")
-        rest = materialize(rest.repartition(partitions(spark), "gid").sortWithinPartitions("gid").mapInArrow(_apart(g, nearest), _as_spark(_PAIRS)).distinct(), "apart")
+        member = _blocks(member.join(mixed, "gid", "left_semi"), WIDE)
+        rest = member.join(reps.select("node", "n", "sketch", long.alias("long")), "node").select("gid", "lo", "hi", "block", "node", "label", "n", "sketch", "long")
+        rest = rest.repartition(partitions(spark), "gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
+        rest = materialize(rest.mapInArrow(_apart(g, nearest), _as_spark(_PAIRS)).distinct(), "apart")
         if rest.isEmpty():
             break
         new = materialize(rest.join(tested, ["a", "b"], "left_anti"), "tested")
@@ -441,27 +498,29 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
             links = links.union(more)
             old, found = found, materialize(components(links, "a", "b"), "components")
             discard(old)
+    discard(groups, tested)
 
     # of every node that has copies or links: the smallest document of its component
-    many = whole.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.countDistinct("doc_id").alias("copies"))
-    many = many.join(found, "node", "left").where("label is not null or top > rep").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
+    many = reps.select("node", "rep", "top").join(found, "node", "left").where("label is not null or top > rep").select("node", "rep", F.coalesce("label", "node").alias("label"))
     low = many.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = many.join(low, "label").select("node", "component_id", "copies")
+    of = materialize(many.join(low, "label").select("node", "component_id"), "of")
     out = nodes.select("doc_id", "n", "node")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     if not count:
+        discard(reps)
         return out.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
     # all links of a node lie in its component: blocks of its members, each with each
-    sizes = found.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = materialize(found.join(sizes, "label").join(many.select("node", "rep", "copies"), "node").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")), "members")
+    sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    copies = whole.join(of.select("node"), "node", "left_semi").groupBy("node").agg(F.countDistinct("doc_id").alias("copies"))
+    copies = materialize(copies, "copies")
+    member = materialize(found.join(sizes, "label").join(copies, "node").join(reps.select("node", "rep"), "node").select("node", "label", "size", "copies", "rep"), "members")
     few = maybe_broadcast(member.select(F.col("rep").alias("doc_id")).distinct(), member.count())
     sets = named.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), _as_spark(_SETS)).dropDuplicates(["node"])
-    other = member.select("node", "label", "block", "copies", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = other.select("node", "label", "block", "copies", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(sets, "node")
+    dealt = _blocks(member.drop("rep"), BLOCK).join(sets, "node")
     dealt = dealt.repartition(partitions(spark), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
     summed = dealt.mapInArrow(_counted(g), _as_spark(_COUNTS)).groupBy("node").agg(F.sum("links").alias("links"))
     summed = materialize(summed, "counts")
-    discard(member)
+    discard(member, reps)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(0).cast("long").alias("links")
-    return out.join(of.join(summed, "node", "left"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component, own)
+    return out.join(of.join(copies, "node").join(summed, "node", "left"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component, own)
