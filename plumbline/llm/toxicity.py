@@ -8,7 +8,7 @@ A document's score joins three things in a logistic regression: its most toxic w
 what words usually do, wherever they stand, and how many distinct words there are. Its weights are learnt from folds: each text is
 read by a model that did not learn from it, since a model's own texts look far surer than new ones. Only document labels exist, so
 training starts with windows of toxic documents side by side and then keeps their most toxic ones. The fit sees at most max_rows
-labelled rows; scoring reads every word of every text.
+labelled rows of at most max_chars characters; scoring reads every word of every text.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .common import batch_of, text_chunks, trim
 from .hashing import LETTER, NUMBER, UPPER, U, classes, codepoints, mix, mix_int, span_hashes
 from .rules import held_out, labelled
 
-#: The most labelled rows that a fit collects to the driver.
-MAX_ROWS = 3_000
+#: The most labelled rows that a fit collects to the driver, and the most characters of such a row; longer ones are not learnt from.
+MAX_ROWS, MAX_CHARS = 3_000, 50_000
 WINDOW = 6
 #: A word tells of toxicity by what its score has over so many standard deviations of all words' scores.
 BEYOND = 2.0
@@ -118,7 +118,7 @@ def earlier(w: Words) -> np.ndarray:
     name = np.repeat(np.arange(len(w.counts)), w.counts) * max(1, len(w.sizes)) + w.every
     order = np.argsort(name, kind="stable")
     same = name[order][1:] == name[order][:-1]
-    out = np.full(len(name), -1)
+    out = np.full(len(name), -1, np.int32)
     out[order[1:][same]] = order[:-1][same]
     return out
 
@@ -131,6 +131,45 @@ def windows_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, begin + np.repeat(np.minimum(w.counts, WINDOW), n), np.repeat(np.arange(len(n)), n)
 
 
+@dataclass
+class Windows:
+    """begin, end: the first place of each window and the one behind its last; text: its text; short: windows of fewer than WINDOW
+    words; again, where: each place of a window whose word stands in the window before it."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    short: np.ndarray
+    again: np.ndarray
+    where: np.ndarray
+
+    def __init__(self, w: Words, before: np.ndarray, use: np.ndarray | None = None):
+        self.begin, self.end, self.text = (x.astype(np.int32) for x in windows_of(w))
+        if use is not None:
+            some = use[self.text]
+            self.begin, self.end, self.text = self.begin[some], self.end[some], self.text[some]
+        self.short = np.flatnonzero(self.end - self.begin < WINDOW)
+        again, where = [], []
+        for k in range(1, WINDOW):
+            at = np.minimum(self.begin + k, max(0, len(before) - 1))
+            found = np.flatnonzero((self.begin + k < self.end) & (before[at] >= self.begin)) if len(before) else np.zeros(0, int)
+            again.append(found)
+            where.append(at[found])
+        self.again, self.where = np.concatenate(again), np.concatenate(where)
+
+    def sums(self, each: np.ndarray) -> np.ndarray:
+        """Of each window the sum over its distinct words. It does not depend on what stands in other texts, to the last bit."""
+        n = len(each)
+        line = np.concatenate([each, np.zeros(WINDOW)])
+        total = line[:n].copy()
+        for k in range(1, WINDOW):
+            total += line[k : n + k]
+        out = total[self.begin] if n else np.zeros(0)
+        for i in self.short.tolist():
+            out[i] = sum(each[self.begin[i] : self.end[i]].tolist())
+        return out - np.bincount(self.again, each[self.where], minlength=len(out))
+
+
 @dataclass
 class ToxicityModel:
     table: np.ndarray  # the embedding rows
@@ -149,27 +188,20 @@ class ToxicityModel:
             total += np.bincount(w.of[s : s + (1 << 20)], self.pull[w.rows[s : s + (1 << 20)]], minlength=len(w.sizes))
         return total / w.sizes
 
-    def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The difference of the classes in each window, and the text of each window."""
-        begin, end, text = windows_of(w)
-        return self.over(w, earlier(w), begin, end), text
-
-    def over(self, w: Words, before: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        each = self.word_scores(w)[w.every]
-        total = np.zeros(len(begin))
-        for k in range(WINDOW):
-            at = np.minimum(begin + k, len(each) - 1)
-            total += np.where((begin + k < end) & (before[at] < begin), each[at], 0)
-        return total / WINDOW + self.offset[1] - self.offset[0]
+    def over(self, w: Words, windows: Windows) -> np.ndarray:
+        """The difference of the classes in each window."""
+        return windows.sums(self.word_scores(w)[w.every]) / WINDOW + self.offset[1] - self.offset[0]
 
     def features(self, w: Words) -> np.ndarray:
         """Of each text: the margin of its most toxic window, the evidence of all its distinct words and their number, both as
         logarithms. A text without words has only the offset."""
-        s, text = self.windows(w)
+        before = earlier(w)
+        windows = Windows(w, before)
+        s = self.over(w, windows)
         most = np.full(len(w.counts), -np.inf)
-        np.maximum.at(most, text, s)
+        np.maximum.at(most, windows.text, s)
         most = np.where(np.isinf(most), min(0.0, float(self.offset[1] - self.offset[0])), most)
-        once = earlier(w) < 0
+        once = before < 0
         doc, own = np.repeat(np.arange(len(w.counts)), w.counts)[once], w.every[once]
         told = np.maximum(self.word_scores(w)[own] / WINDOW / self.spread - BEYOND, 0)
         return np.stack([most / self.spread, np.log1p(np.bincount(doc, told, minlength=len(w.counts))), np.log1p(np.bincount(doc, minlength=len(w.counts)))], 1)
@@ -183,13 +215,19 @@ class ToxicityModel:
 
 def fit(texts: list[str], toxic: np.ndarray, *, seed: int = 11, **how) -> ToxicityModel:
     """Without both classes the model is a constant."""
+    return fit_words(words_of_many(texts), folds_of(texts), toxic, seed=seed, **how)
+
+
+def folds_of(texts: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) % FOLDS for t in texts])  # equal texts share one
+
+
+def fit_words(w: Words, fold: np.ndarray, toxic: np.ndarray, *, seed: int = 11, **how) -> ToxicityModel:
     y = np.asarray(toxic, int)
     if not len(y) or y.min() == y.max():
         model = _start(np.random.default_rng(seed))
         model.weights, model.shift = np.zeros(3), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
         return model
-    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]) % FOLDS  # equal texts share one
-    w = words_of_many(texts)
     trim()
     model = learn(w, y, np.ones(len(y), bool), seed=seed, **how)
     x = model.features(w)
@@ -219,19 +257,16 @@ def learn(w: Words, y: np.ndarray, use: np.ndarray, *, epochs: int = 30, rate: f
     """The embeddings and the softmax from the texts in use, which have both classes."""
     rng = np.random.default_rng(seed)
     model = _start(rng)
-    begin, end, text = windows_of(w)
-    begin, end, text = begin[use[text]], end[use[text]], text[use[text]]
+    before = earlier(w)
+    windows = Windows(w, before, use)
+    begin, end, text = windows.begin, windows.end, windows.text
     if not len(np.unique(y[text])) == 2:  # a class without any words
         return model
-    before = earlier(w)
     first_of = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     phase = np.where(np.maximum(1, w.counts - WINDOW + 1)[text] == 1, -1, (begin - (np.cumsum(w.counts) - w.counts)[text]) % WINDOW)
     trim()
     first_row = np.cumsum(w.sizes.astype(int)) - w.sizes.astype(int)
     good = np.flatnonzero(y[text] == 0)
-    params = [model.table, model.softmax, model.offset]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    step = 0
     # rows in fewer than min_texts of the texts would be learnt by heart
     seen = np.zeros(BUCKETS, np.int64)
     ends = np.cumsum(w.counts)
@@ -239,15 +274,22 @@ def learn(w: Words, y: np.ndarray, use: np.ndarray, *, epochs: int = 30, rate: f
     for e, c in zip(ends[use].tolist(), w.counts[use].tolist(), strict=True):
         own = np.unique(w.every[e - c : e])
         seen[np.unique(w.rows[np.repeat(first_row[own], lengths[own]) + _ranges(lengths[own])])] += 1
-    rare = seen < min_texts
-    model.table[rare] = 0
+    alive = np.flatnonzero(seen >= min_texts)
+    number = np.zeros(BUCKETS, np.int32)  # 0 for the rare ones, which stay zero
+    number[alive] = 1 + np.arange(len(alive))
+    table = np.concatenate([np.zeros((1, DIM)), model.table[alive]])
+    model.table[seen < min_texts] = 0
+    params = [table, model.softmax, model.offset]
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    step = 0
     for epoch in range(epochs):
+        model.table[alive] = table[1:]
         model.__post_init__()
         if epoch < epochs // 4:  # windows side by side, from another border each time
             bad = np.flatnonzero((y[text] == 1) & ((phase == epoch % WINDOW) | (phase < 0)))
             pick = np.concatenate([bad, rng.choice(good, min(len(good), 2 * len(bad)), replace=False)])
         else:  # the most toxic window of every text, and others of clean texts
-            s = model.over(w, before, begin, end)
+            s = model.over(w, windows)
             most = np.flatnonzero(s == np.repeat(np.maximum.reduceat(s, first_of), np.diff(np.append(first_of, len(s)))))
             top = most[np.concatenate([[True], text[most][1:] != text[most][:-1]])]
             pick = np.concatenate([top, rng.choice(good, min(len(good), len(top)), replace=False)])
@@ -257,26 +299,28 @@ def learn(w: Words, y: np.ndarray, use: np.ndarray, *, epochs: int = 30, rate: f
             weight = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))
             at = begin[chosen, None] + np.arange(WINDOW)
             bag, k = np.nonzero((at < end[chosen, None]) & (before[np.minimum(at, len(before) - 1)] < begin[chosen, None]))
-            each = w.every[at[bag, k]]
-            count = w.sizes[each].astype(int)
-            rows = w.rows[np.repeat(first_row[each], count) + _ranges(count)]
-            share = np.repeat(1 / (w.sizes[each] * WINDOW), count)
-            of = np.repeat(bag, count)
-            average = np.stack([np.bincount(of, share * model.table[rows, d], minlength=len(chosen)) for d in range(DIM)], 1)
+            words, each = np.unique(w.every[at[bag, k]], return_inverse=True)
+            count = lengths[words]
+            rows = number[w.rows[np.repeat(first_row[words], count) + _ranges(count)]]
+            of, share = np.repeat(np.arange(len(words)), count), 1 / (w.sizes[words] * WINDOW)
+            vectors = np.stack([share * np.bincount(of, table[rows, d], minlength=len(words)) for d in range(DIM)], 1)
+            average = np.stack([np.bincount(bag, vectors[each, d], minlength=len(chosen)) for d in range(DIM)], 1)
             z = average @ model.softmax + model.offset
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(chosen)), target] -= 1
             p *= weight[:, None]
             back = p @ model.softmax.T
-            grads = [np.stack([np.bincount(rows, share * back[of, d], minlength=BUCKETS) for d in range(DIM)], 1), average.T @ p, p.sum(0)]
-            grads[0][rare] = 0
+            back = np.stack([share * np.bincount(each, back[bag, d], minlength=len(words)) for d in range(DIM)], 1)
+            grads = [np.stack([np.bincount(rows, back[of, d], minlength=len(table)) for d in range(DIM)], 1), average.T @ p, p.sum(0)]
+            grads[0][0] = 0
             step += 1
             for x, g, (m, v) in zip(params, grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.02 * (g * g - v)
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-7)
-            model.table *= 1 - decay
+            table *= 1 - decay
+    model.table[alive] = table[1:]
     model.__post_init__()
     used = np.unique(w.every[np.repeat(use, w.counts)])
     model.spread = max(float(model.word_scores(w)[used].std()) / WINDOW, 1e-6)
@@ -288,10 +332,16 @@ def _ranges(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> ToxicityModel:
-    some = labelled(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), labels, label, max_rows, "id")
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ToxicityModel:
+    """The model from at most max_rows labelled rows with at most max_chars characters each; the texts are let go before the fit."""
+    some = labelled(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_chars), labels, label, max_rows, "id")
     rows = some.select("id", "_y", "text").dropDuplicates().toPandas().sort_values(["id", "text"])
-    model = fit(rows["text"].tolist(), rows["_y"].to_numpy())
+    texts, y = rows["text"].tolist(), rows["_y"].to_numpy()
+    del rows
+    w, fold = words_of_many(texts), folds_of(texts)
+    del texts
+    model = fit_words(w, fold, y)
+    del w
     trim()
     return model
 
