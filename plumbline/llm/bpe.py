@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -61,7 +62,8 @@ def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 class Encoder:
-    """ids of texts by the vocabulary file of a byte-level BPE tokenizer. Strings of special tokens are ordinary text."""
+    """ids of texts by the vocabulary file of a byte-level BPE tokenizer. The strings of added tokens are those tokens wherever they
+    stand; what lies between two of them is encoded on its own."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -69,8 +71,13 @@ class Encoder:
         symbols = byte_symbols()
         with open(path, encoding="utf-8") as f:
             known = json.load(f)
-        special = {t["content"] for t in known["added_tokens"] if t["special"]}
-        ranks = {bytes(symbols[c] for c in t): i for t, i in known["model"]["vocab"].items() if t not in special}
+        if known.get("normalizer") or any(t["single_word"] for t in known["added_tokens"]):
+            raise ValueError("the tokenizer has a normalizer, or added tokens that only match whole words")
+        self.added = {t["content"]: t["id"] for t in known["added_tokens"]}
+        blank = lambda t, side: r"\s*" if t[side] else ""
+        shown = (blank(t, "lstrip") + re.escape(t["content"]) + blank(t, "rstrip") for t in sorted(known["added_tokens"], key=lambda t: -len(t["content"])))
+        self.token = re.compile("|".join(shown)) if self.added else None
+        ranks = {bytes(symbols[c] for c in t): i for t, i in known["model"]["vocab"].items() if t not in self.added}
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.forget()
 
@@ -95,6 +102,29 @@ class Encoder:
         self.place.update(zip(names, range(n, n + len(new)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.token or not any(c in t for t in texts for c in self.added):
+            return self._encode(texts)
+        parts: list[str] = []
+        tokens: list[list[int]] = []
+        for t in texts:
+            at, found = 0, []
+            for m in self.token.finditer(t):
+                parts.append(t[at : m.start()])
+                found.append(self.added[m[0] if m[0] in self.added else m[0].strip()])
+                at = m.end()
+            parts.append(t[at:])
+            tokens.append(found)
+        ids, out, at = self._encode(parts), [], 0
+        for found in tokens:
+            mixed = [ids[at]]
+            for k, token in enumerate(found):
+                mixed += [np.array([token], np.uint32), ids[at + k + 1]]
+            out.append(np.concatenate(mixed))
+            at += len(found) + 1
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         codes, starts, ends, counts = spans(texts)
         if not len(starts):
             return [np.zeros(0, np.uint32) for _ in texts]
