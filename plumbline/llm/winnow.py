@@ -1,11 +1,14 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
-A window starts at each line that is not blank and is the shortest run of such lines with at least min_words words. Its fingerprint
-is the window's smallest line hash, under the window's own hash: equal runs of min_words words have equal windows and so equal
-fingerprints, wherever they stand. A fingerprint's later positions are joined with its first one, the match is extended line by
-line both ways along the same offset, and the lines of a later run of min_words words or more are deleted. The first run of all stays.
+A window starts at each line that is not blank and is the shortest run of such lines with at least min_words words. Of each window
+the line with the smallest hash is selected, the last of equal ones; windows next to each other mostly select the same line, so that
+few positions are fingerprints, and a run of min_words words selects the same ones wherever it stands. Positions are joined on their
+line's hash: only those whose line was selected elsewhere too go on, with the hashes of the windows that selected them. Equal windows
+of such positions are matches; each is held against the first of all, extended line by line both ways along the same offset, and the
+lines of a later run of min_words words or more are deleted. The first run of all stays.
 
-The text moves only within its own row; what is shuffled is a few longs for each line.
+A common line is selected in many texts and would tie unrelated ones together, or hide a passage behind its own first place; that is
+why a match needs an equal window around it. The text moves only within its own row; what is shuffled is a few longs for each line.
 """
 
 from __future__ import annotations
@@ -16,6 +19,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, maybe_broadcast
 
 
+#: Columns of the result that a kept one can't replace.
+OWN = ("doc_id", "text", "n_lines", "n_removed")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """One row for each line that isn't blank: the document (id, h), the line's place among all lines and among these, hash, words."""
     line = F.trim("line")
@@ -23,20 +30,33 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "h", "at", F.xxhash64(line).alias("hash"), F.size(F.split(line, " +")).alias("words"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, h, runs): for each text with later repeated runs, array<struct<first, last>> of line places, both included."""
+def numbered(docs: DataFrame, min_words: int) -> DataFrame:
+    """_lines with i, a line's number among those that aren't blank, `spot`, the number of the line that its window selects, and window, the window's hash; null where no min_words words are left."""
     own = Window.partitionBy("doc_id", "h").orderBy("at")
     lines = _lines(docs).repartition("doc_id", "h").dropDuplicates(["doc_id", "h", "at"])
     lines = lines.withColumn("i", F.row_number().over(own)).withColumn("before", F.sum("words").over(own) - F.col("words"))
     # lines that begin within min_words of this one's begin: the shortest run of that many words
     run = Window.partitionBy("doc_id", "h").orderBy("before").rangeBetween(0, min_words - 1)
-    lines = lines.select("doc_id", "h", "at", "i", "hash", "words", F.sum("words").over(run).alias("total"), F.min("hash").over(run).alias("low"), F.xxhash64(F.collect_list("hash").over(run)).alias("window"))
-    lines = materialize(lines.select("doc_id", "h", "at", "i", "hash", "words", F.when(F.col("total") >= min_words, F.struct("low", "window")).alias("mark")), "lines")
+    low = F.min(F.struct("hash", (-F.col("i")).alias("i"))).over(run)
+    lines = lines.select("doc_id", "h", "at", "i", "hash", "words", F.sum("words").over(run).alias("total"), low.alias("low"), F.xxhash64(F.collect_list("hash").over(run)).alias("window"))
+    whole = F.col("total") >= min_words
+    return lines.select("doc_id", "h", "at", "i", "hash", "words", F.when(whole, -F.col("low.i")).alias("spot"), F.when(whole, F.col("low.hash")).alias("low"), F.when(whole, F.col("window")).alias("window"))
+
 
-    marks = lines.where("mark is not null").select("doc_id", "h", "i", F.col("mark.low").alias("low"), F.col("mark.window").alias("window"))
-    first = marks.groupBy("low", "window").agg(F.min(F.struct("doc_id", "h", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+def fingerprints(lines: DataFrame) -> DataFrame:
+    """(doc_id, h, spot, low, windows): the selected positions of numbered lines, their line's hash, and (i, window) of the windows that selected them."""
+    return lines.where("spot is not null").groupBy("doc_id", "h", "spot").agg(F.first("low").alias("low"), F.collect_list(F.struct("i", "window")).alias("windows"))
+
+
+def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, h, runs): for each text with later repeated runs, array<struct<first, last>> of line places, both included."""
+    lines = materialize(numbered(docs, min_words), "lines")
+    spots = fingerprints(lines)
+    common = spots.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low")
+    marks = materialize(spots.join(common, "low").select("doc_id", "h", F.inline("windows")), "marks")
+    first = marks.groupBy("window").agg(F.min(F.struct("doc_id", "h", "i")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     at_first = F.struct("doc_id", "h", "i")
-    matches = marks.join(first, ["low", "window"]).where(at_first != F.col("first"))
+    matches = marks.join(first, "window").where(at_first != F.col("first"))
     # where a match leads: the same offset to the same text is one alignment
     aligned = matches.select("doc_id", "h", F.col("first.doc_id").alias("doc0"), F.col("first.h").alias("h0"), (F.col("i") - F.col("first.i")).alias("shift")).distinct()
     aligned = materialize(aligned, "aligned")
@@ -48,7 +68,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     same = same.withColumn("island", F.col("i") - F.row_number().over(along))
     runs = same.groupBy("doc_id", "h", "doc0", "h0", "shift", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("words").alias("total")).where(F.col("total") >= min_words)
     out = materialize(runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "runs")
-    discard(lines, aligned)
+    discard(lines, aligned, marks)
     return out
 
 
@@ -59,22 +79,22 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, *, id_col: str = "doc_id",
     Earlier and later are by ascending doc_id, then place; of different texts under one doc_id, by the hash of the text. Blank lines
     never count, and go only inside a deleted run. Rows that repeat a doc_id and its text are one document and get the same text. A
     null text becomes an empty one; with a null doc_id a text stays as it is and no other text is compared with it. Columns of docs
-    that are not in keep are not read.
+    that are not in keep are not read; kept ones may have any names, but the id, the text and OWN are the result's alone.
     """
-    spare = [F.col(c) for c in keep or [] if c not in (id_col, text_col)]
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *spare)
+    names = [c for c in dict.fromkeys(keep or []) if c.lower() not in (id_col.lower(), text_col.lower(), *OWN)]
+    row = F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(f"c{k}") for k, c in enumerate(names))) if names else F.lit(0)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("row"))
     runs = repeated_runs(docs.select("doc_id", "text").where("doc_id is not null and text <> ''"), min_words)
     size = runs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("r")).first()
-    runs = maybe_broadcast(runs.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "runs"), size.n + size.r)
-    docs = docs.join(runs, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+    runs = maybe_broadcast(runs.select(F.col("doc_id").alias("id"), "h", "runs"), size.n + size.r)
+    docs = docs.join(runs, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("h")), "left")
     gone = lambda i: F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"]))
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~gone(i))
+    left = F.filter(F.split("text", "\n"), lambda line, i: ~gone(i))
     lines = F.size(F.split("text", "\n"))
-    out = docs.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
-    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))
-    removed = F.when(F.col("kept").isNotNull(), lines - F.size("kept")).otherwise(F.lit(0))
-    names = [c for c in keep or [] if c not in (id_col, text_col)]
-    return out.select(*names, "doc_id", text.alias("text"), lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    out = docs.withColumn("left", F.when(F.col("runs").isNotNull(), left))
+    text = F.when(F.col("left").isNotNull(), F.array_join("left", "\n")).otherwise(F.col("text"))
+    removed = F.when(F.col("left").isNotNull(), lines - F.size("left")).otherwise(F.lit(0))
+    return out.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)), "doc_id", text.alias("text"), lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 #: The same in SQL, with texts in place of hashes; {w} is min_words.
