@@ -2,7 +2,7 @@
 
 A document's tokens are cut into full sequences and one remainder. The remainders' length histogram is a cutting-stock problem: a
 pattern is a multiset of lengths that fit a sequence, a linear program chooses how often each pattern is used, a knapsack by dynamic
-programming prices new patterns, and the solution is rounded down. A remainder may be cut once more at its highest power of two,
+programming prices new patterns until they gain less than a stated share, and the solution is rounded down. A remainder may be cut once more at its highest power of two,
 which stands alone without padding; such cuts are columns of the program too. What rounding leaves is packed best fit decreasing.
 
 Patterns are given to documents by their rank among those of equal remainder, so only the histogram (at most size - 1 numbers) and a
@@ -28,6 +28,8 @@ from .common import batch_of, materialize, partitions, text_chunks
 SIZE = 1024
 #: What a cut costs, and a sequence that isn't full, in tokens of padding.
 CUT, SHORT = 8.0, 2.0
+#: The linear program is solved until this many more patterns lower its cost by less than this share of the remainders' tokens.
+ROUND, GAIN = 50, 1e-4
 
 
 def top(n: int) -> int:
@@ -60,8 +62,9 @@ def _price(y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value, last
 
 
-def solve(histogram: dict[int, int], size: int = SIZE, most_steps: int = 1200) -> Plan:
-    """A plan for the histogram of remainders (1 to size - 1). It always covers every remainder; most_steps bounds the search, not the result's validity."""
+def solve(histogram: dict[int, int], size: int = SIZE, gain: float = GAIN) -> Plan:
+    """A plan for the histogram of remainders (1 to size - 1), which covers every remainder. The linear program is solved to its
+    least cost, or until ROUND more patterns lower the cost by less than gain, as a share of all tokens."""
     histogram = {r: n for r, n in histogram.items() if n}
     lengths = set(histogram)
     for r in sorted(histogram, reverse=True):
@@ -80,19 +83,30 @@ def solve(histogram: dict[int, int], size: int = SIZE, most_steps: int = 1200) -
             columns.append(("cut", {r: 1, r - top(r): -1}, CUT + SHORT))
         else:
             columns.append(("pattern", {r: 1}, cost[r]))
-    basis = np.zeros((m, m))
-    for j, (_, a, _) in enumerate(columns):
-        for r, k in a.items():
-            basis[row[r], j] = k
-    inverse = np.linalg.inv(basis)
+
+    def vector(a: dict[int, int]) -> np.ndarray:
+        out = np.zeros(m)
+        out[[row[r] for r in a]] = list(a.values())
+        return out
+
+    inverse = np.linalg.inv(np.stack([vector(a) for _, a, _ in columns], 1))
     demand = np.array([histogram.get(r, 0) for r in rows], float) + 1e-7 * np.arange(1, m + 1)
-    x = inverse @ demand
-    y = np.array([c for _, _, c in columns]) @ inverse
-    steps = 0
-    while steps < most_steps:
+    tokens = float(demand @ np.array(rows, float))
+    x, y = inverse @ demand, np.array([c for _, _, c in columns]) @ inverse
+    cuttable = [r for r in rows if r & (r - 1)]
+    long, rest = (np.array(v, int) for v in ([row[r] for r in cuttable], [row[r - top(r)] for r in cuttable]))
+    steps, past, change = 0, [], np.empty((m, m))
+    while True:
         dual = np.full(size, -np.inf)
         dual[rows] = y
         value, last = _price(dual, size)
+        saved = y[long] - y[rest] - (CUT + SHORT)
+        # what the last steps gained tells when more of them would not be worth their time
+        past.append((steps, float(y @ demand)))
+        while steps - past[0][0] > ROUND and len(past) > 1 and steps - past[1][0] >= ROUND:
+            past.pop(0)
+        if steps - past[0][0] >= ROUND and past[0][1] - past[-1][1] < gain * tokens:
+            break
         pool = []
         for c in np.argsort(cost - value, kind="stable")[:40].tolist():
             if cost[c] - value[c] < -1e-6 and c:
@@ -102,32 +116,42 @@ def solve(histogram: dict[int, int], size: int = SIZE, most_steps: int = 1200) -
                     a[int(last[at])] += 1
                     at -= int(last[at])
                 pool.append(("pattern", dict(a), float(cost[c])))
-        for r in rows:
-            if r & (r - 1) and CUT + SHORT - y[row[r]] + y[row[r - top(r)]] < -1e-6:
-                pool.append(("cut", {r: 1, r - top(r): -1}, CUT + SHORT))
+        for i in np.flatnonzero(saved > 1e-6).tolist():
+            r = cuttable[i]
+            pool.append(("cut", {r: 1, r - top(r): -1}, CUT + SHORT))
         if not pool:
             break
-        while pool and steps < most_steps:
-            gains = [c - sum(k * y[row[r]] for r, k in a.items()) for _, a, c in pool]
+        held, costs = np.stack([vector(a) for _, a, _ in pool]), np.array([c for _, _, c in pool])
+        moved = False
+        while True:
+            gains = costs - held @ y
             best = int(np.argmin(gains))
             if gains[best] >= -1e-6:
                 break
-            new = pool.pop(best)
-            u = sum(k * inverse[:, row[r]] for r, k in new[1].items())
+            some = np.flatnonzero(held[best])
+            u = inverse[:, some] @ held[best, some]
+            costs[best] = np.inf
             ok = u > 1e-9
             if not ok.any():
                 continue
-            ratio = np.where(ok, x / np.where(ok, u, 1), np.inf)
+            ratio = np.full(m, np.inf)
+            np.divide(x, u, out=ratio, where=ok)
             out = int(ratio.argmin())
-            y = y + gains[best] / u[out] * inverse[out]
+            pivot = inverse[out] / u[out]
+            y = y + gains[best] * pivot
             step = max(0.0, float(ratio[out]))
-            x = x - step * u
+            x -= step * u
             x[out] = step
-            pivot = inverse[out] / u[out]
-            inverse -= np.outer(u, pivot)
-            inverse[out] = pivot
-            columns[out] = new
-            steps += 1
+            u[out] -= 1  # the row itself becomes the pivot
+            np.multiply.outer(u, pivot, out=change)
+            inverse -= change
+            columns[out] = pool[best]
+            moved, steps = True, steps + 1
+            if steps % 500 == 0:  # rounding errors add up
+                inverse = np.linalg.inv(np.stack([vector(a) for _, a, _ in columns], 1))
+                x, y = np.maximum(inverse @ demand, 0), np.array([c for _, _, c in columns]) @ inverse
+        if not moved:
+            break
     return _rounded(columns, x, histogram, rows, size)
 
 
