@@ -204,3 +204,26 @@ def test_toxicity_reads_the_whole_text():
     model = toxicity.fit([text(k) for k in counts], np.array([k == 4 for k in counts]))
     many, one = (model.scores([text(k) for _ in range(100)]) for k in (4, 1))
     assert (many[:, None] > one[None, :]).mean() > 0.95
+
+
+def test_article_content_of_all_kinds_stays():
+    page = (
+        "<html><head><title>x</title><body><nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><article class='qz-1'><header><h1>The title</h1></header>"
+        "<p>Some text here that is long enough to tell.</p><ul><li><a>linked item</a></li><li><a>other one</a></li></ul><p>More | text | follows it now.</p>"
+        "<table><tr><td>a cell</td><td>b</td></tr></table><pre>code = 1</pre><math><mi>x</mi></math><aside><p>Buy this now.</p></aside></article><footer>&copy; us</footer>"
+    )
+    want = ["The title", "Some text here that is long enough to tell.", "linked item", "other one", "More | text | follows it now.", "a cell", "b", "code = 1", "x"]
+    assert mincut.extract(page).split("\n") == want
+    bare = "<title>q</title><head><meta name=x><p>Hello there, this is a page without a body tag.<p>And more text is here, too."
+    assert mincut.extract(bare) == "Hello there, this is a page without a body tag.\nAnd more text is here, too."
+    unknown = "<body><aside class='kq'><p>Read this other thing.</p></aside><main id='zzk'><p>What the page is about stands here.</p><h2>Part</h2><p>And goes on.</p></main><footer class='mm'>All rights kept.</footer>"
+    assert mincut.extract(unknown) == "What the page is about stands here.\nPart\nAnd goes on."
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    page = "<article>" + "".join(f"<p>Sentence number {i} stands here with some words.</p><div class='ad'><a href=x>Buy {i}</a></div>" for i in range(100_000)) + "</article>"
+    began = time.time()
+    out = mincut.extract(page).split("\n")
+    assert len(out) == 100_000 and time.time() - began < 60
