@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,33 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_keys(parts: int, partitions: int) -> np.ndarray:
+    """An int for each of so many parts, all different, that repartition(partitions, key) deals in turn: part p goes to partition p % partitions."""
+    each = -(-parts // partitions)
+    found: list[list[int]] = [[] for _ in range(partitions)]
+    at, missing = 0, partitions
+    while missing:
+        some = np.arange(at, at + 8 * parts + 64, dtype=np.uint32)
+        for key, p in zip(some.tolist(), (_spark_hash(some).astype(np.int64) % partitions).tolist(), strict=True):
+            if len(found[p]) < each:
+                found[p].append(key)
+                missing -= len(found[p]) == each
+        at += len(some)
+    return np.array([found[p % partitions][p // partitions] for p in range(parts)], np.int32)
+
+
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of ints: Murmur3 with the seed 42."""
+    u = np.uint32
+    turn = lambda v, k: (v << u(k)) | (v >> u(32 - k))
+    with np.errstate(over="ignore"):
+        h = turn(turn(x * u(0xCC9E2D51), 15) * u(0x1B873593) ^ u(42), 13) * u(5) + u(0xE6546B64)
+        h ^= u(4)
+        h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+        h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
 def maybe_broadcast(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small with a broadcast hint if it is counted to have at most limit rows, else unchanged (a shuffled join)."""
     return F.broadcast(small) if (small.count() if rows is None else rows) <= limit else small

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, discard, materialize, maybe_broadcast, partitions, text_chunks, trim
+from .common import batch_of, discard, even_keys, materialize, maybe_broadcast, partitions, text_chunks, trim
 from .components import components
 from .hashing import U, mix, mix_int, shingle_sets
 
@@ -146,8 +146,10 @@ def _nodes(words: int):
     return run
 
 
-def _signed(words: int, scheme: Scheme, parts: int):
-    """Signatures dealt to parts by their remainder. Packed: the upper 48 bits of the quotient's hash, the lower 16 the place of the node in nodes."""
+def _signed(words: int, scheme: Scheme, keys: np.ndarray):
+    """Signatures dealt to parts by their remainder, parts named by keys. Packed: the upper 48 bits of the quotient's hash, the lower 16 the place of the node in nodes."""
+
+    parts = len(keys)
 
     def flush(nodes: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         who = np.repeat(np.arange(len(signs), dtype=U), [len(s) for s in signs])
@@ -159,7 +161,7 @@ def _signed(words: int, scheme: Scheme, parts: int):
         cut = np.flatnonzero(np.diff(part)) + 1
         names = np.array(nodes, np.int64)
         rows: list[list] = [[], [], []]
-        for p, x in zip(part[np.concatenate([[0], cut])].tolist(), np.split(packed, cut), strict=True):
+        for p, x in zip(keys[part[np.concatenate([[0], cut])]].tolist(), np.split(packed, cut), strict=True):
             used, place = np.unique((x & U(0xFFFF)).astype(np.intp), return_inverse=True)
             for column, v in zip(rows, (p, names[used].tobytes(), ((x & U(0xFFFFFFFFFFFF0000)) | place.astype(U)).tobytes()), strict=True):
                 column.append(v)
@@ -447,8 +449,8 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
     reps = whole.groupBy("node").agg(lowest.alias("low"), F.max("doc_id").alias("top"))
     reps = materialize(reps.select("node", F.col("low.doc_id").alias("rep"), "top", F.col("low.n").alias("n"), F.col("low.sketch").alias("sketch"), F.col("low.long").alias("long")), "reps")
 
-    parts = 4 * partitions(spark)
-    blobs = named.mapInArrow(_signed(words, scheme, parts), _as_spark(_BLOBS)).repartition(partitions(spark), "part").sortWithinPartitions("part")
+    keys = even_keys(4 * partitions(spark), partitions(spark))
+    blobs = named.mapInArrow(_signed(words, scheme, keys), _as_spark(_BLOBS)).repartition(partitions(spark), "part").sortWithinPartitions("part")
     groups = blobs.mapInArrow(_grouped, _as_spark(_GROUPS))
     groups = materialize(groups.groupBy("gid", "chunk").agg(F.first("pivot").alias("pivot"), F.first("size").alias("size"), F.sum("weight").alias("weight"), F.first("members").alias("members")), "groups")
 
