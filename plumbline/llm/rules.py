@@ -8,6 +8,7 @@ Arrow batches and applies the compiled rules in the JVM.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -77,13 +78,14 @@ class RuleModel:
         return z
 
     def column(self, stats: Column) -> Column:
-        """The probability of a good document as one expression over the array of statistics."""
-        z = F.lit(float(self.bias))
-        for w, conditions in self.rules:
-            test = F.lit(True)
-            for s, over, at in conditions:
-                test = test & ((stats[s] > at) if over else (stats[s] <= at))
-            z = z + F.when(test, F.lit(float(w))).otherwise(F.lit(0.0))
+        """The probability of a good document as one expression over the array of statistics.
+
+        The rules are a constant of the expression, which folds over them: written out, a few hundred rules are more code than the
+        JVM compiles as one method, and every row would be interpreted through a tree of thousands of nodes."""
+        told = [{"w": float(w), "all": [{"s": int(s), "over": bool(over), "at": float(at)} for s, over, at in conditions]} for w, conditions in self.rules]
+        rules = F.from_json(F.lit(json.dumps(told)), "array<struct<w: double, all: array<struct<s: int, over: boolean, at: double>>>>")
+        holds = lambda rule: F.forall(rule["all"], lambda c: (F.get(stats, c["s"]) > c["at"]) == c["over"])
+        z = F.aggregate(rules, F.lit(float(self.bias)), lambda z, rule: z + F.when(holds(rule), rule["w"]).otherwise(F.lit(0.0)))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
