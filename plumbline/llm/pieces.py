@@ -26,10 +26,45 @@ BLANK = "▁"
 REMEMBERED, INDEXED = 400_000, 60_000
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The numbers and values of a protocol buffer's fields; numbers of fixed width are skipped."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value, shift, at = value | (raw[at] & 127) << shift, shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        elif key & 7 == 2:
+            size = number()
+            at += size
+            yield key >> 3, raw[at - size : at]
+        else:
+            at += 8 if key & 7 == 1 else 4
+
+
+def check(path: str) -> None:
+    """Raise unless the model at path is BPE, takes texts as they are, and marks words by a blank before them: all that is done here."""
+    with open(path, "rb") as f:
+        specs = {k: dict(_fields(v)) for k, v in _fields(f.read()) if k in (2, 3) and isinstance(v, bytes)}
+    trainer, normalizer = specs.get(2, {}), specs.get(3, {})
+    told = {"not BPE": trainer.get(3, 1) != 2, "blanks behind words": trainer.get(24, 0), "normalizing": normalizer.get(2, b""), "no blank before a text": not normalizer.get(3, 1), "dropping blanks": normalizer.get(4, 1), "blanks as they are": not normalizer.get(5, 1)}
+    if bad := [k for k, v in told.items() if v]:
+        raise ValueError(f"{path}: a model of another kind ({', '.join(bad)})")
+
+
 class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
+        check(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.names = [model.id_to_piece(i) for i in range(n)]
@@ -265,7 +300,8 @@ _TEXT = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row of docs, by the BPE model file at path, which every executor must be able to read.
 
-    A null or empty text has no ids. Rows that repeat an id, or have none, are each encoded. Other columns are not read.
+    A null or empty text has no ids. Rows that repeat an id, or have none, are each encoded. A text of any length is encoded whole; one
+    of more than two million characters is indexed alone. Other columns are not read. A model of another kind is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +309,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         for keys, texts in text_chunks(batches, 2 << 20):
             yield batch_of(_IDS, [keys, model.encode(texts)])
 
+    check(path)
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -293,13 +330,13 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32"
 
 
 def digests(rows: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, n_chars, text_md5) of encoded rows: their ids as little-endian 32-bit numbers, and the text that they decode to."""
+    """(doc_id, n_ids, ids_crc32, n_chars, text_md5) of encoded rows: their ids as little-endian 32-bit numbers, and the text that they decode to. Null ids are none, and make an empty text; rows are neither joined nor dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for b in batches:
-            ids, at = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
-            each = [ids[s:e] for s, e in zip(at, at[1:], strict=False)]
+            ids, at, none = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy(), np.asarray(b.column(1).is_null())
+            each = [ids[s : s if null else e] for s, e, null in zip(at, at[1:], none, strict=False)]
             texts = [model.decode(x) for x in each]
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
             yield batch_of(_DIGEST, [b.column(0), [len(x) for x in each], [zlib.crc32(x.astype("<u4").tobytes()) for x in each], [len(t) for t in texts], [hashlib.md5(x).hexdigest() for x in raw]])

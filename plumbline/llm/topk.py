@@ -1,23 +1,23 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-A vector's components are terms with integer weights. Queries stand in blocks of bounded size, which every task gets; a task turns
-its rows, chunk by chunk, into postings per term, and each term of the block's queries scatters its weighted postings into a dense
-array of scores. Each task keeps its best by partition selection, and the tasks' best are merged.
+A vector's components are terms with integer weights. Queries are dealt to blocks of about BLOCK, candidates to slices; every block
+meets every slice in a task of its own: the block's queries come first and become a sparse matrix, then the slice's rows stream by,
+chunk by chunk, as postings per term, and each term of the queries scatters its weighted postings into a dense array of scores. A
+task keeps its best by partition selection, and the tasks' best are merged. Neither side passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, even_keys, materialize, partitions, trim
 
-#: Queries in a block; candidates scored at once.
+#: Queries in a block, about; candidates scored at once.
 BLOCK, CHUNK = 2048, 1024
 
 _BEST = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -55,37 +55,70 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return place[np.lexsort([ids[place], -score[place]])]
 
 
-def _search(sent, k: int):
+class _Block:
+    """The queries of a block, and the best candidates so far of each."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, weights: np.ndarray, k: int):
+        self.ids, self.rows, self.weights, self.k = ids, rows, weights, k
+        self.terms = [(t, np.flatnonzero(weights[:, t])) for t in range(weights.shape[1])]
+        self.score = [np.zeros(0, np.int64)] * len(ids)
+        self.id = [np.zeros(0, np.int64)] * len(ids)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        scores = np.zeros((len(self.ids), len(ids)), np.int64)
+        for t, queries in self.terms:
+            if t < x.shape[1] and len(queries):
+                posted = np.flatnonzero(x[:, t])
+                if len(posted) == len(ids) and len(queries) == len(self.ids):
+                    scores += self.weights[:, t, None] * x[None, :, t]
+                elif len(posted):
+                    scores[np.ix_(queries, posted)] += self.weights[queries, t, None] * x[None, posted, t]
+        for q, name in enumerate(self.ids.tolist()):
+            s, i = scores[q], ids
+            if len(self.score[q]) >= self.k:  # what can't be among the best
+                s, i = s[keep := s >= self.score[q][-1]], i[keep]
+            s, i = s[other := i != name], i[other]
+            if len(s):
+                s, i = np.concatenate([self.score[q], s]), np.concatenate([self.id[q], i])
+                best = _best(s, i, self.k)
+                self.score[q], self.id[q] = s[best], i[best]
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        sizes = [len(s) for s in self.score]
+        if sum(sizes):
+            yield batch_of(_BEST, [np.repeat(self.ids, sizes), np.repeat(self.rows, sizes), np.concatenate(self.id), np.concatenate(self.score)])
+
+
+def _search(k: int):
+    """Rows (cell, query_row, vec_id, terms) come sorted by cell, a block and a slice, and in it queries first, without a null query_row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rows, weights = sent.value
-        terms = [(t, np.flatnonzero(weights[:, t])) for t in range(weights.shape[1])]
-        score_held = [np.zeros(0, np.int64)] * len(names)
-        id_held = [np.zeros(0, np.int64)] * len(names)
+        cell, asked, block = None, [], None
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                ids = part.column(0).to_numpy()
-                x = _matrix(part.column(1))
-                scores = np.zeros((len(names), len(ids)), np.int64)
-                for t, queries in terms:
-                    if t < x.shape[1] and len(queries):
-                        posted = np.flatnonzero(x[:, t])
-                        if len(posted) == len(ids) and len(queries) == len(names):
-                            scores += weights[:, t, None] * x[None, :, t]
-                        elif len(posted):
-                            scores[np.ix_(queries, posted)] += weights[queries, t, None] * x[None, posted, t]
-                for q, name in enumerate(names.tolist()):
-                    s, i = scores[q], ids
-                    if len(score_held[q]) >= k:  # what can't be among the best
-                        s, i = s[keep := s >= score_held[q][-1]], i[keep]
-                    s, i = s[other := i != name], i[other]
-                    if len(s):
-                        s, i = np.concatenate([score_held[q], s]), np.concatenate([id_held[q], i])
-                        best = _best(s, i, k)
-                        score_held[q], id_held[q] = s[best], i[best]
-        sizes = [len(s) for s in score_held]
-        if sum(sizes):
-            yield batch_of(_BEST, [np.repeat(names, sizes), np.repeat(rows, sizes), np.concatenate(id_held), np.concatenate(score_held)])
+            cells, is_query = batch.column(0).to_numpy(), ~np.asarray(batch.column(1).is_null())
+            cut = np.flatnonzero((np.diff(cells) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(cells)], strict=True):
+                if s == e:
+                    continue
+                if cells[s] != cell:
+                    if block:
+                        yield from block.best()
+                    cell, asked, block = cells[s], [], None
+                part = batch.slice(s, e - s)
+                if is_query[s]:
+                    asked.append(part)
+                    continue
+                if block is None:
+                    if not asked:
+                        continue
+                    width = max(int(np.diff(b.column(3).offsets.to_numpy()).max(initial=0)) for b in asked)
+                    block = _Block(*(np.concatenate([b.column(c).to_numpy() for b in asked]) for c in (2, 1)), np.concatenate([_matrix(b.column(3), width) for b in asked]), k)
+                for at in range(0, part.num_rows, CHUNK):
+                    some = part.slice(at, CHUNK)
+                    block.meet(some.column(2).to_numpy(), _matrix(some.column(3)))
+        if block:
+            yield from block.best()
+        trim()
 
     return run
 
@@ -101,28 +134,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, *, id_col: str = "v
     spark = vectors.sparkSession
     rows = quantized(vectors, id_col, vector_col)
     queries = quantized(vectors.where(F.coalesce(is_query, F.lit(False))), id_col, vector_col)
-    found, names, terms, n = [], [], [], 0
-
-    def ask() -> None:
-        width = max(len(t) for t in terms)
-        weights = np.array([[*t, *[0] * (width - len(t))] for t in terms], np.int64).reshape(len(terms), width)
-        sent = spark.sparkContext.broadcast((np.array(names, np.int64), np.arange(n - len(names), n), weights))
-        found.append(rows.mapInArrow(_search(sent, k), "query_id long, query_row long, vec_id long, score long"))
-
-    for q in queries.orderBy("vec_id", "terms").toLocalIterator():  # a block at a time
-        names.append(q.vec_id)
-        terms.append(q.terms)
-        n += 1
-        if len(names) == block:
-            ask()
-            names, terms = [], []
-    if names or not found:
-        if names:
-            ask()
-        else:
-            found.append(spark.createDataFrame([], "query_id long, query_row long, vec_id long, score long"))
+    queries = materialize(queries.withColumn("query_row", F.monotonically_increasing_id()), "queries")
+    blocks = max(1, -(-queries.count() // block))
+    slices = max(1, -(-partitions(spark) // blocks))
+    keys = F.lit(even_keys(blocks * slices, partitions(spark)).tolist())
+    cell = lambda b, s: F.get(keys, b * slices + s).alias("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.withColumn("b", F.pmod(F.xxhash64("query_row"), F.lit(blocks)).cast("int")).withColumn("s", every(slices))
+    asked = asked.select(cell(F.col("b"), F.col("s")), "query_row", "vec_id", "terms")
+    met = rows.withColumn("s", F.pmod(F.xxhash64("vec_id", "terms"), F.lit(slices)).cast("int")).withColumn("b", every(blocks))
+    met = met.select(cell(F.col("b"), F.col("s")), F.lit(None).cast("long").alias("query_row"), "vec_id", "terms")
+    dealt = asked.unionAll(met).repartition(partitions(spark), "cell").sortWithinPartitions("cell", F.col("query_row").isNull())
+    found = dealt.mapInArrow(_search(k), "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
-    best = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
