@@ -27,14 +27,17 @@ def test_top_k_against_brute_force(spark):
 
 
 def test_store(spark, tmp_path):
-    df = spark.range(4000).select("id", F.md5(F.col("id").cast("string")).alias("text"), F.lit(None).cast("string").alias("_shard2")).repartition(8)
+    df = spark.range(4000).select("id", F.md5(F.col("id").cast("string")).alias("text"), F.lit("mine").alias("_shard")).repartition(8)
     store = shards.shard_documents(df, str(tmp_path / "s"), arrivals=3, target=100_000)
     now = store.manifest()
-    sizes = [s["size"] for s in now["shards"]]
-    assert all(len(s) < store.fan_in for t, s in store.tiers(store._shards(now)).items() if t) and sum(sizes)
-    assert sorted(r.id for r in store.read().collect()) == list(range(4000))
+    sizes = [s.size for s in store.shards()]
+    assert all(len(s) < store.fan_in for t, s in store.tiers(store.shards()).items() if t) and sum(sizes)
+    assert sorted((r.id, r._shard) for r in store.read().collect()) == [(i, "mine") for i in range(4000)]
+    assert {r.file for r in store.read(shard_col="file").collect()} == {s.path for s in store.shards()}
+    with pytest.raises(ValueError, match="column _SHARD"):
+        store.read(shard_col="_SHARD")
     with pytest.raises(shards.Conflict):
-        store._commit(now["version"] - 1, None, [])
+        store._commit(now | {"version": now["version"] - 1}, None, [])
     v = store.append(df.limit(5))
     assert store.read().count() == 4005 and store.read(v - 1).count() == 4000
     with pytest.raises(ValueError, match="columns"):
@@ -43,6 +46,47 @@ def test_store(spark, tmp_path):
     assert empty.read().count() == 0 and empty.compact() == empty.manifest()["version"]
 
 
+def test_store_keeps_rows_of_any_kind(spark, tmp_path):
+    rows = [(1, None), (1, None), (None, ""), (None, None), (2, "x" * 500_000), (2, "x" * 500_000), (3, "é\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    store = shards.shard_documents(df, str(tmp_path / "s"))
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, df.collect()))
+
+
+def test_expire_spares_what_is_being_written(spark, tmp_path, monkeypatch):
+    df = spark.range(100)
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    store.append(df)
+    commit = store._commit
+
+    def late(base, schema, found):  # another process expires, and another writer commits, before this one's commit
+        monkeypatch.setattr(store, "_commit", commit)
+        other = shards.ShardStore(spark, store.path)
+        other.append(spark.range(100, 150))
+        other.expire()
+        return commit(base, schema, found)
+
+    monkeypatch.setattr(store, "_commit", late)
+    store.append(spark.range(150, 170))
+    assert sorted(r.id for r in store.read().collect()) == list(range(170))
+    store.compact()
+    left = store._write(spark.range(5), "shards/abandoned")
+    store.expire()
+    assert store._list("shards/abandoned") == left
+    assert store.expire(grace=-1) == len(left) and store.read().count() == 170
+
+
+def test_manifests_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "PART", 4)
+    store = shards.ShardStore(spark, str(tmp_path / "s"), fan_in=50)
+    for i in range(6):
+        store.append(spark.range(i * 10, i * 10 + 10).coalesce(2))
+    parts = store.manifest()["parts"]
+    assert len(parts) >= 2 and len(store.shards()) >= 6 and store.read().count() == 60
+    store.append(spark.range(60, 61))
+    assert len(set(parts) & set(store.manifest()["parts"])) >= 1 and store.read().count() == 61
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
