@@ -46,14 +46,48 @@ def copies(seed, n=6, group=12, words=60):
     return rows
 
 
-@pytest.mark.parametrize(("similarity", "k"), [("0.9", 3), ("0.8", 5)])
+@pytest.mark.parametrize(("similarity", "k"), [("0.9", 3), ("0.8", 5), ("0.66", 2), ("0.5", 3), ("0.4", 1)])
 def test_against_brute_force(docs_of, similarity, k):
-    rows = [*copies(1), (900, None), (901, ""), (902, " \t"), (903, "One two"), (904, "one  TWO"), (905, "one"), (None, "one two"), (906, "Éa Éb éc éd ée"), (907, "éa éb éc éd ée")]
+    base = " ".join(f"b{i}" for i in range(30))
+    rows = [*copies(1), *((1000 + n, " ".join(base.split()[:n])) for n in (11, 14, 18, 23, 30)), (2, "doc two again under one id"), (2003, "doc two again under one id x")]
+    rows += [(3001, "aa bb cc dd ee ff"), (3002, "aa bb cc dd ee ff"), (3002, "gg hh ii jj kk ll"), (3003, "gg hh ii jj kk ll"), (900, None), (901, ""), (902, " \t"), (903, "One two"), (904, "one  TWO"), (905, "one"), (None, "one two"), (906, "Éa Éb éc éd ée"), (907, "éa éb éc éd ée")]
     got = {r.doc_id: r for r in near_duplicates(docs_of(rows), similarity, k).collect()}
     want = brute(rows, similarity, k)
     assert {i: r.component_id for i, r in got.items() if i is not None} == want
     assert got[None].component_id is None
-    assert got[901].n_shingles == 0 and got[903].n_shingles == 1
+    assert got[901].n_shingles == 0 and got[903].n_shingles == (2 if k == 1 else 1)
+
+
+def test_long_sets_against_brute_force(docs_of):
+    rng = random.Random(9)
+    rows, i = [], 0
+    for _ in range(6):
+        base = [f"w{rng.randrange(20_000)}" for _ in range(rng.randrange(450, 1500))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rng.randrange(0, 1 + len(t) // 25)):
+                t[rng.randrange(len(t))] = f"v{rng.randrange(9999)}"
+            rows.append((i, " ".join(t)))
+            i += 1
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), "0.8", 5, count=False).collect()}
+    assert got == brute(rows, "0.8", 5) and len(set(got.values())) < len(rows)
+
+
+def test_group_shared_by_half_of_all_is_split(docs_of, monkeypatch):
+    """A passage in half of the documents, dealt over blocks of a few members each."""
+    monkeypatch.setattr("plumbline.llm.partenum.WIDE", 8)
+    rng = random.Random(10)
+    passage = " ".join(f"p{j}" for j in range(40))
+    rows = [(j, (passage + " " if j % 2 else "") + " ".join(f"q{rng.randrange(50)}" for _ in range(rng.choice([4, 5, 9, 30])))) for j in range(120)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), "0.8", 3, count=False).collect()}
+    assert got == brute(rows, "0.8", 3)
+
+
+def test_sets_of_any_sizes_that_can_link_share_an_instance():
+    for g in ("0.3", "0.4", "0.5", "0.6", "0.66", "0.7", "0.8", "0.9"):
+        scheme, f = Scheme(Fraction(g)), Fraction(g)
+        known = {m: {x[:2] for x in scheme.instances(m)} for m in range(1, 400)}
+        assert all(known[m] & known[n] for m in range(1, 400) for n in range(m, min(399, int(m / f)) + 1) if scheme.differences(m + n) and m != n)
 
 
 def test_empty_table_and_long_text(docs_of):
@@ -63,20 +97,24 @@ def test_empty_table_and_long_text(docs_of):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_linked_sets_share_a_signature():
+@pytest.mark.parametrize("g", ["0.4", "0.5", "0.66", "0.8", "0.9"])
+def test_linked_sets_share_a_signature(g):
     import numpy as np
 
-    rng, scheme = np.random.default_rng(3), Scheme(Fraction("0.8"))
-    for _ in range(200):
-        n = int(rng.integers(8, 300))
+    rng, scheme, f = np.random.default_rng(3), Scheme(Fraction(g)), float(g)
+    seen = 0
+    for _ in range(300):
+        n = int(rng.integers(6, 300))
         a = np.unique(rng.integers(1 << 62, size=n).astype(np.uint64))
-        b = a.copy()
-        k = int(len(a) * 0.11)
-        b[:k] = rng.integers(1 << 62, size=k).astype(np.uint64)
-        b = np.unique(b)
-        both = len(np.intersect1d(a, b))
-        if both >= 0.8 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+        # some features dropped, some added, about as many as the similarity lets be
+        drop = int(rng.integers(0, 1 + int(len(a) * (1 - f))))
+        both = len(a) - drop
+        add = max(0, int(both / f) - len(a))
+        b = np.unique(np.concatenate([a[drop:], rng.integers(1 << 62, size=add).astype(np.uint64)]))
+        if Fraction(g) * (len(a) + len(b) - both) <= both and not np.array_equal(a, b):
+            seen += 1
             assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
+    assert seen > 200
 
 
 def test_components(spark):

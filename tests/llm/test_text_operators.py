@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import imatch, mincut, packing, pieces, rules, toxicity, winnow
 from plumbline.llm.queries import ORACLE_SQL, table, tokenizer
@@ -27,6 +28,9 @@ def test_quality_and_toxicity_held_out(spark):
         held = [r for r in got if r.doc_id in y and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
         assert all(r.held_out for r in held)
         assert sum(r.predicted == y[r.doc_id][label] for r in held) / len(held) >= least
+        if label == "toxic":
+            toxic, called = [r for r in held if y[r.doc_id].toxic == 1], [r for r in held if r.predicted == 1]
+            assert sum(r.predicted for r in toxic) / len(toxic) >= 0.9 and sum(y[r.doc_id].toxic for r in called) / len(called) >= 0.95
 
 
 @pytest.mark.parametrize("run", [rules.quality, toxicity.toxicity])
@@ -70,6 +74,44 @@ def test_line_dedup_edges(docs_of):
     assert winnow.dedup_lines(docs_of([])).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    passage = " ".join(f"p{i}" for i in range(55))
+    df = spark.createDataFrame([(1, f"a\n{passage}", "k1", "r1", 7, "x.1", "w"), (2, f"b\n{passage}", "k2", "r2", 8, "x.2", "v")], "doc_id long, text string, left string, runs string, n_lines long, `a.b` string, row string")
+    out = winnow.dedup_lines(df, keep=["left", "runs", "n_lines", "a.b", "row", "text"])
+    assert out.columns == ["left", "runs", "a.b", "row", "doc_id", "text", "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [("k1", "r1", "x.1", "w", 1, f"a\n{passage}", 2, 0), ("k2", "r2", "x.2", "v", 2, "b", 2, 1)]
+
+
+def test_winnowing_selects_few_positions(docs_of):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randrange(4, 12))) for _ in range(60))) for i in range(20)]
+    lines = winnow.numbered(docs_of(rows).select("doc_id", "text"), 50)
+    marks = winnow.fingerprints(lines)
+    assert 0 < marks.count() < 0.45 * lines.count()
+    assert marks.select(F.explode("windows")).count() == lines.where("window is not null").count()
+
+
+def test_pieces_refuse_other_models(tmp_path):
+    import sentencepiece
+
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    pieces.check(tokenizer("piece_bpe_32k.model"))
+    assert sentencepiece.SentencePieceProcessor(model_proto=raw).get_piece_size() == 32_000
+    bad = tmp_path / "m.model"
+    bad.write_bytes(raw + bytes([0x12, 2, 0x18, 1]))  # a trainer's model type of 1
+    with pytest.raises(ValueError, match="not BPE"):
+        pieces.check(str(bad))
+
+
+def test_digests_of_nulls_and_repeated_rows(spark):
+    path = tokenizer("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, [5, 6]), (1, [5, 6]), (2, None), (None, [])], "doc_id long, ids array<int>")
+    got = pieces.digests(df, path).collect()
+    assert sorted((r.doc_id or -1, r.n_ids) for r in got) == [(-1, 0), (1, 2), (1, 2), (2, 0)]
+    assert all(r.n_chars == 0 and r.text_md5 == hashlib.md5(b"").hexdigest() for r in got if not r.n_ids)
+
+
 def test_pieces_round_trip(docs_of):
     import sentencepiece
 
@@ -84,6 +126,54 @@ def test_pieces_round_trip(docs_of):
     assert pieces.encode(docs_of([]), path).count() == 0
 
 
+def brute_fingerprints(rows, high):
+    """Of each document its fingerprint and its likeness to the next one's, by loops over words."""
+    import numpy as np
+
+    from plumbline.llm.hashing import U, mix, mix_int, word_hashes
+
+    number = lambda w: int(word_hashes([w.encode()])[0][0])
+    mixed = lambda x: int(mix(np.array([x & (1 << 64) - 1], U))[0])
+    words = {i: sorted({number(w) for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())}) for i, t in rows}
+    times = {}
+    for ws in words.values():
+        for w in ws:
+            times[w] = times.get(w, 0) + 1
+    lexicon = {w for w, n in times.items() if imatch.LOW <= n / len(rows) <= high}
+    found = {}
+    for i, ws in words.items():
+        inside = [w for w in ws if w in lexicon]
+        some = inside or ws
+        codes = [[0] * imatch.REPLICAS for _ in imatch.SHARES]
+        for level, share in enumerate(imatch.SHARES):
+            for r in range(imatch.REPLICAS):
+                kept = [w for w in inside if mixed(w ^ mix_int(r)) < int(share * 2.0**64)]
+                codes[level][r] = mixed(sum(map(mixed, kept))) % 65535 + 1 if kept else 0
+        found[i] = (mixed(sum(map(mixed, some)) + len(some)), codes)
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        told = [[x > 0 or y > 0 for x, y in zip(p, q, strict=True)] for p, q in zip(a[1], b[1], strict=True)]
+        level = max((k for k, t in enumerate(told) if 2 * sum(t) >= imatch.REPLICAS), default=0)
+        agree = sum(x == y and x > 0 for x, y in zip(a[1][level], b[1][level], strict=True))
+        return agree / max(1, sum(told[level]))
+
+    order = sorted(found)
+    text = lambda f: f"{f[0]:016x}" + "".join(f"{c:04x}" for level in f[1] for c in level)
+    return {i: (text(found[i]), like(found[i], found[order[(k + 1) % len(order)]])) for k, i in enumerate(order)}
+
+
+def test_fingerprints_of_many_rows_of_one_id(docs_of):
+    rows = [(7, f"text number {i} of the same id") for i in range(60)] + [(i, f"other {i}") for i in range(10, 30)] + [(None, f"none {i}") for i in range(20)]
+    for terms in (imatch.MAX_TERMS, 5):
+        got = imatch.fingerprints(docs_of(rows), max_terms=terms).collect()
+        assert sorted((r.doc_id or -1, r.n_chars) for r in got) == sorted((i or -1, len(t)) for i, t in rows)
+        last = next(r for r in got if r.doc_id == 29)
+        nones = {hashlib.sha256(imatch.edited("other 29", t).encode()).hexdigest() for i, t in rows if i is None}
+        assert last.edited_sha256 in nones  # after the last the first, a null id
+
+
 def test_fingerprints(docs_of):
     rng = random.Random(5)
     rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(0, 200)))) for i in range(80)] + [(80, None), (81, "one"), (82, "one")]
@@ -97,6 +187,7 @@ def test_fingerprints(docs_of):
     assert got[81].fingerprint == got[82].fingerprint and got[81].near_next == 1
     some = [r for i, r in got.items() if len(text[i]) > 300]
     assert sum(r.near_edited > r.near_next for r in some) > 0.8 * len(some)
+    assert brute_fingerprints(rows, 1.0) == {i: (r.fingerprint, r.near_next) for i, r in got.items()}
     assert imatch.fingerprints(docs_of(EDGE)).count() == len(EDGE)
     assert imatch.fingerprints(docs_of([])).count() == 0
 
@@ -161,6 +252,18 @@ def test_packing(spark, docs_of):
     assert packing.pack(docs_of([]), path).count() == 0
 
 
+def test_added_tokens_in_a_text(docs_of):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "no <|endoftext| here", " <|endoftext|>\n\n<|endoftext|>", "it's<|endoftext|>'s  "]
+    for r in packing.pack(docs_of(list(enumerate(texts))), path).collect():
+        ids = np.array([*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_cutting_stock_covers_everything():
     rng = random.Random(8)
     for n in (1, 7, 400):
