@@ -120,10 +120,23 @@ def normalize_error_label(c: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in S.LABEL_ALIASES.items() for x in kv]), F.translate(s, "- ", "__"))
 
 
-def chat_text(messages: Column, role: str = "role", content: str = "content") -> Column:
-    """`role: content` lines of messages that have content."""
-    kept = F.filter(messages, lambda m: F.coalesce(m[content], F.lit("")) != "")
-    return F.array_join(F.transform(kept, lambda m: F.concat(F.coalesce(some(m[role]), F.lit("message")), F.lit(": "), m[content])), "\n")
+def chat_text(messages: Column, role: str | tuple[str, ...] = "role", content: str | tuple[str, ...] = "content") -> Column:
+    """`role: content` lines of messages that have content. Several names are tried in order, message by message, as ("role", "from") and ("content", "value")."""
+    roles, contents = ((x,) if isinstance(x, str) else tuple(x) for x in (role, content))
+    first = lambda m, names: F.coalesce(*[some(m[n]) for n in names], F.lit(""))
+    kept = F.filter(messages, lambda m: first(m, contents) != "")
+    return F.array_join(F.transform(kept, lambda m: F.concat(F.coalesce(some(first(m, roles)), F.lit("message")), F.lit(": "), first(m, contents))), "\n")
+
+
+def message_names(kind) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Of an array of messages' type the names that there are for roles and for contents, in the order in which they count."""
+    have = kind.elementType.names
+    return tuple(n for n in ("role", "from") if n in have), tuple(n for n in ("content", "value") if n in have)
+
+
+def required_label(label: Column, *shown: Column) -> Column:
+    """label, or an error that names the record where it is none."""
+    return F.coalesce(label, F.raise_error(F.concat_ws(" ", F.lit("a record has no known label:"), *(c.cast("string") for c in shown))).cast("string"))
 
 
 def record_text(columns: list[str], field: str | None = None, message_columns: tuple[str, ...] = ("messages", "conversations")) -> Column:

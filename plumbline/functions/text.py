@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,13 +71,13 @@ def sentence_negation(sentence: Column, anchors: Column, cues: tuple[str, ...] =
 
     def total(words: Column, at: Column) -> Column:
         near = lambda p: F.when(F.size(at) == 0, F.lit(0.15)).otherwise(F.lit(1.0) / (F.array_min(F.transform(at, lambda a: F.abs(a - p))) + F.lit(1.0)))
-        sum_ = F.lit(0.0)
-        for cue in cues:
-            sum_ = F.aggregate(cue_positions(words, cue), sum_, lambda acc, p: acc + near(p))
-        return sum_
+        of = lambda cue: F.aggregate(cue_positions(words, cue), F.lit(0.0), lambda acc, p: acc + near(p))
+        return reduce(lambda a, b: a + b, [F.when(F.array_contains(words, cue.split()[0]), of(cue)).otherwise(F.lit(0.0)) for cue in cues])
 
     at = lambda words: F.filter(_positions(F.size(words)), lambda i: hit(F.get(words, i)))
-    return let(tokens(sentence), lambda words: let(at(words), lambda places: total(words, places)))
+    heads = F.array(*[F.lit(c) for c in dict.fromkeys(cue.split()[0] for cue in cues)])  # most sentences have none of these
+    told = lambda words: let(at(words), lambda places: total(words, places))
+    return let(tokens(sentence), lambda words: F.when(F.arrays_overlap(words, heads), told(words)).otherwise(F.lit(0.0)))
 
 
 def _best(found: Column, score) -> Column:

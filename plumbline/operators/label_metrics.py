@@ -11,23 +11,26 @@ from ..functions.scalars import coerce_binary, ratio
 from ..schemas import LABELS, NO_FINDING
 
 
-def _cells(df: DataFrame, keys: list[str], labels: list[str], value: str) -> DataFrame:
+def _named(df: DataFrame, keys: list[str], labels: list[str], value: str) -> DataFrame:
     lacking = [c for c in [*keys, *labels] if c not in df.columns]
     if lacking:
         raise ValueError(f"columns are missing: {lacking}")
-    named = df.select(*keys, *[coerce_binary(F.col(f"`{c}`")).alias(f"l{i}") for i, c in enumerate(labels)])
-    return named.unpivot(keys, [f"l{i}" for i in range(len(labels))], "label", value)
+    return df.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)), *[coerce_binary(F.col(f"`{c}`")).alias(f"{value}{i}") for i, c in enumerate(labels)], F.lit(True).alias(f"has_{value}"))
 
 
 def confusion(gold: DataFrame, predicted: DataFrame, keys: list[str], labels: list[str] | None = None) -> DataFrame:
-    """(label_idx, label, tp, fp, fn, tn) of rows with equal keys."""
+    """(label_idx, label, tp, fp, fn, tn) of rows with equal keys. A row whose keys the other side lacks, or that has a null key, raises when the counts are read.
+
+    Whole rows meet in one join on the keys, one aggregate counts all labels, and its single row becomes a row for each label."""
     labels = list(labels or LABELS)
-    pairs = _cells(gold, keys, labels, "y").join(_cells(predicted, keys, labels, "p"), [*keys, "label"])
-    count = lambda y, p: F.count_if((F.col("y") == y) & (F.col("p") == p))
-    out = pairs.groupBy("label").agg(count(1, 1).alias("tp"), count(0, 1).alias("fp"), count(1, 0).alias("fn"), count(0, 0).alias("tn"))
-    at = F.substring("label", 2, 9).cast("int")
-    names = F.array(*[F.lit(x) for x in labels])
-    return out.select(at.alias("label_idx"), F.element_at(names, at + 1).alias("label"), "tp", "fp", "fn", "tn")
+    pairs = _named(gold, keys, labels, "y").join(_named(predicted, keys, labels, "p"), [f"k{i}" for i in range(len(keys))], "full")
+    count = lambda i, y, p: F.count_if((F.col(f"y{i}") == y) & (F.col(f"p{i}") == p))
+    cells = [F.struct(F.lit(i).alias("label_idx"), F.lit(x).alias("label"), count(i, 1, 1).alias("tp"), count(i, 0, 1).alias("fp"), count(i, 1, 0).alias("fn"), count(i, 0, 0).alias("tn")) for i, x in enumerate(labels)]
+    alone = F.count_if(F.col("has_y").isNull() | F.col("has_p").isNull())
+    counted = pairs.agg(F.array(*cells).alias("cells"), alone.alias("alone"), F.count(F.lit(1)).alias("n"))
+    message = F.concat(F.lit("rows of gold and predictions without a partner: "), F.col("alone").cast("string"))
+    checked = F.when(F.col("alone") > 0, F.raise_error(message).cast(counted.schema["cells"].dataType)).otherwise(F.col("cells"))
+    return counted.where("n > 0").select(F.inline(checked))
 
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:

@@ -61,6 +61,13 @@ def overlap_examples(keys: DataFrame, values: int = 5, records: int = 3) -> Data
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= records).drop("_n")
 
 
+def verdict(found: dict) -> list[str]:
+    """Lines that say for each field and pair of splits what report() found, and what that means."""
+    names = {"sample_id": "sample ids", "study_id": "study ids", "input_hash": "input texts", "report_hash": "report texts"}
+    lines = [f"{x['a']} and {x['b']} share {x['n']} {names[x['field']]}." for x in found["overlaps"] if x["n"]]
+    return [*lines, "LEAKAGE: the splits are not apart." if lines else "OK: no ids or texts are in two splits."]
+
+
 def report(keys: DataFrame) -> dict:
     """For the driver: summaries, counts and whether anything but repeated ids within a split overlaps."""
     counts = [r.asDict() for r in overlap_counts(keys).orderBy("field", "a", "b").collect()]

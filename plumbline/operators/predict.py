@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,16 +57,21 @@ def extraction_prompt(report: Column, label: Column, guidance: Column) -> Column
     return F.concat(F.lit(EXTRACTION[0]), label, F.lit(EXTRACTION[1]), F.coalesce(report, F.lit("")), F.lit("\n"), F.coalesce(guidance, F.lit("")), F.lit(EXTRACTION[2]))
 
 
-def extract_labels(reports: DataFrame, factory: Callable[[], Model], keys: list[str], *, report: str = "report", labels: tuple[str, ...] = S.LABELS, guidance: dict[str, str] | None = None, done: DataFrame | None = None) -> DataFrame:
+def extract_labels(reports: DataFrame, factory: Callable[[], Model], keys: list[str], *, report: str = "report", labels: tuple[str, ...] = S.LABELS, guidance: dict[str, str] | None = None, done: DataFrame | None = None, start: int = 0, limit: int | None = None, raw: bool = False) -> DataFrame:
     """(keys, one 0 or 1 for each label, error): each report is asked for each label but No Finding, which follows from the others.
 
-    A report with a failed call keeps its row, with null labels and the error. Rows whose keys are in done are left out.
+    A report with a failed call keeps its row, with null labels and the error. Rows whose keys are in done are left out. start and
+    limit choose a slice of the reports in the order of their keys; raw adds the model's replies as a map `raw` by label.
     """
     lacking = [c for c in [*keys, report] if c not in reports.columns]
     if lacking:
         raise ValueError(f"columns are missing: {lacking}")
     asked = [c for c in labels if c != S.NO_FINDING]
     rows = reports.select(*keys, F.col(report).alias("_report"))
+    if start:
+        rows = rows.orderBy(*keys).offset(start)
+    if limit is not None:
+        rows = rows.orderBy(*keys).limit(limit)
     if done is not None:
         rows = rows.join(done.select(*keys), keys, "left_anti")
     hints = guidance or {}
@@ -75,22 +81,26 @@ def extract_labels(reports: DataFrame, factory: Callable[[], Model], keys: list[
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for b in batches:
-            out, errors = [], []
+            out, said, errors = [], [], []
             for prompts in b["_prompts"]:
+                replies: list[str] = []
                 try:
-                    replies = [model(p) for p in prompts]
+                    for p in prompts:
+                        replies.append(model(p))
                     out.append([next((int(c) for c in r if c in "01"), 0) for r in replies])
                     errors.append(None)
                 except Exception as e:
                     out.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield b[keys].assign(_labels=out, error=errors)
+                said.append(replies)
+            yield b[keys].assign(_labels=out, _said=said, error=errors)
 
-    found = rows.select(*keys, prompts.alias("_prompts")).mapInPandas(ask, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _labels array<int>, error string")
-    wide = found.select(*keys, *[F.get("_labels", F.lit(i)).alias(c) for i, c in enumerate(asked)], "error")
+    found = rows.select(*keys, prompts.alias("_prompts")).mapInPandas(ask, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _labels array<int>, _said array<string>, error string")
+    wide = found.select(*keys, *[F.get("_labels", F.lit(i)).alias(c) for i, c in enumerate(asked)], "error", "_said")
     if S.NO_FINDING in labels:
         wide = no_finding(wide, [*asked, S.NO_FINDING]).withColumn(S.NO_FINDING, F.when(F.col("error").isNull(), F.col(f"`{S.NO_FINDING}`")))
-    return wide.select(*keys, *[F.col(f"`{c}`") for c in labels], "error")
+    replies = F.map_from_arrays(F.slice(F.array(*[F.lit(c) for c in asked]), 1, F.size("_said")), F.col("_said"))
+    return wide.select(*keys, *[F.col(f"`{c}`") for c in labels], "error", *([replies.alias("raw")] if raw else []))
 
 
 def keyword_labels(reports: DataFrame, keys: list[str], words: dict[str, tuple[str, ...]], report: str = "report") -> DataFrame:
@@ -121,11 +131,17 @@ def rationale_prompt(df: DataFrame) -> DataFrame:
     return df.withColumn("prompt", F.concat(F.lit("Input case:\n"), case, F.lit("\n\nFixed gold audit result:\n"), F.to_json(F.struct(correct.alias("correctness"), kind.alias("error_type"))), F.lit("\n\nInterpretation guidance: "), rationale_guidance(correct, kind, side, F.col("finding_category")), F.lit("\n\n" + rules.split("{}")[0]), side, F.lit(rules.split("{}")[1].replace("{{", "{").replace("}}", "}"))))
 
 
+#: What a call may fail with and is asked again for: broken replies and what the connection, the server or the clock makes of it. Other errors are the caller's.
+EXPECTED = (ValueError, KeyError, TypeError, OSError)
+
+
 def generate_rationales(audit: DataFrame, factory: Callable[[], Model], *, done: DataFrame | None = None, split: str | None = None, limit: int | None = None, attempts: int = 3, wait: float = 0.2, order: str = "sample_id") -> DataFrame:
     """(sample_id, split, finding_category, assigned_label_text, gold_correctness, gold_error_type, status, attempts, reason, rationale).
 
     Rows of the split, the first limit of them, without those in done. A reply must be JSON with a rationale that passes every rule;
-    a rejected one is asked again with the reason, up to attempts times. What still fails has the status failed.
+    a rejected one is asked again with the reason, up to attempts times, after wait seconds times the number of the attempt. What still
+    fails has the status failed; an error that is none of EXPECTED ends the job. Each attempt's replies are kept on the executors' disks
+    and two of them, so that a lost executor asks nothing twice.
     """
     from ..functions.text import clean_rationale
     from .validate import rationale_reason
@@ -142,30 +158,30 @@ def generate_rationales(audit: DataFrame, factory: Callable[[], Model], *, done:
         model = factory()
         for b in batches:
             replies, errors = [], []
-            for prompt, reason in zip(b["_ask"], b["reason"], strict=True):
+            for prompt, reason, before in zip(b["_ask"], b["reason"], b["tries"], strict=True):
+                if before and wait:
+                    time.sleep(wait * before)
                 try:
                     more = "" if not reason or reason == "ok" else "\n\n" + RETRY.get(reason, f"The previous draft was rejected because: {reason}. Rewrite it without that error.")
                     value = json.loads(model(prompt + more))
                     text = value.get("rationale") if isinstance(value, dict) else None
                     replies.append(str(text) if text and str(text).strip() else None)
                     errors.append(None if replies[-1] else "no rationale in the reply")
-                except Exception as e:
+                except EXPECTED as e:
                     replies.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            if any(errors) and wait:
-                time.sleep(wait)
-            yield b.drop(columns=["reason"]).assign(rationale=replies, _error=errors)
+            yield b.drop(columns=["reason", "tries"]).assign(rationale=replies, _error=errors)
 
-    rows = rows.select(*keep, F.col("prompt").alias("_ask"), F.lit("").alias("reason"))
+    rows = rows.select(*keep, F.col("prompt").alias("_ask"), F.lit("").alias("reason"), F.lit(0).alias("tries"))
     schema = ", ".join(f"{c} string" for c in [*keep, "_ask", "rationale", "_error"])
     out, waiting = None, rows
     for attempt in range(1, attempts + 1):
         tried = waiting.mapInPandas(ask, schema)
         text = clean_rationale(F.coalesce("rationale", F.lit("")))
         reason = F.coalesce("_error", rationale_reason(F.col("rationale"), F.col("assigned_label_text"), F.col("gold_correctness"), F.col("gold_error_type")))
-        tried = tried.withColumns({"rationale": F.when(F.col("rationale").isNotNull(), text), "reason": reason}).persist()  # each reply is asked for once
+        tried = tried.withColumns({"rationale": F.when(F.col("rationale").isNotNull(), text), "reason": reason}).persist(StorageLevel.DISK_ONLY_2)
         ok = tried.where("reason = 'ok'" if attempt < attempts else "true").withColumns({"attempts": F.lit(attempt), "status": F.when(F.col("reason") == "ok", "ok").otherwise("failed")})
         ok = ok.select(*keep, "status", "attempts", "reason", F.when(F.col("status") == "ok", F.col("rationale")).alias("rationale"))
         out = ok if out is None else out.unionByName(ok)
-        waiting = tried.where("reason <> 'ok'").select(*keep, "_ask", "reason")
+        waiting = tried.where("reason <> 'ok'").select(*keep, "_ask", "reason", F.lit(attempt).alias("tries"))
     return out

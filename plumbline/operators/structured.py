@@ -101,10 +101,12 @@ def error_rows(j: DataFrame, snippet: int = 500, report: str = "report") -> Data
 
 
 def compare(base: DataFrame, other: DataFrame, key: str = "row_idx") -> DataFrame:
-    """Rows of two models with their outcome: corrected, regressed, both_wrong or both_right."""
+    """Rows of two models with their outcome: corrected, regressed, both_wrong or both_right. A row that only one of them has raises."""
+    alone = lambda c: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit("only one model has the row "), F.col(key).cast("string"))).cast("boolean")).alias(c)
     a, b = base.select(key, F.col("joint_ok").alias("base_ok")), other.withColumnRenamed("joint_ok", "other_ok")
     outcome = F.when(F.col("base_ok") & F.col("other_ok"), "both_right").when(F.col("base_ok"), "regressed").when(F.col("other_ok"), "corrected").otherwise("both_wrong")
-    return b.join(a, key).withColumn("outcome", outcome)
+    both = b.join(a, key, "full")
+    return both.select(*[alone(c) if c in ("base_ok", "other_ok") else F.col(f"`{c}`") for c in both.columns]).withColumn("outcome", outcome)
 
 
 def outcome_counts(compared: DataFrame) -> DataFrame:

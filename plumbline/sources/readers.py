@@ -34,7 +34,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     """One JSON object a line. A line that isn't one raises BadRecord, or is left out if skip_invalid. Blank lines are skipped or an error."""
     lines = spark.read.option("lineSep", "\n").text(path)
     stripped = F.btrim(F.col("value"), F.lit(" \t\r\ufeff"))
-    bad = (stripped != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json(stripped)).startswith("OBJECT"), F.lit(False))
+    # a parser stops at the first value's end; what is one value stays one within an array and within an object
+    alone = F.try_parse_json(F.concat(F.lit("["), stripped, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), stripped, F.lit("}"))).isNotNull()
+    bad = (stripped != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json(stripped)).startswith("OBJECT") & alone, F.lit(False))
     if blank_is_error:
         bad = bad | (stripped == "")
     if not skip_invalid:
@@ -42,9 +44,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
         if first:
             raise BadRecord(f"{first[0].f}: {first[0].value[:200]!r} is not a JSON object")
     good = lines.where((stripped != "") & ~bad).select(stripped.alias("value"))
-    if schema is None:
-        reader = spark.read.option("lineSep", "\n").option("mode", "DROPMALFORMED")
-        return reader.json(path)
+    if schema is None:  # the columns of all good lines, and of no other
+        strings = getattr(good._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(spark._jsparkSession.read().json(strings), spark)
     return good.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
@@ -102,15 +104,11 @@ def read_splits(spark: SparkSession, folder: str, prefix: str = "", skip_invalid
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """Rows numbered from 0 in their present order: counts by partition, then a number within each; no window over all rows."""
     ids = df.withColumn("_at", F.monotonically_increasing_id())
-    counts = ids.groupBy(F.shiftright("_at", 33).alias("p")).count().orderBy("p").collect()  # one row for each partition
-    starts, n = [], 0
-    for r in counts:
-        starts += [F.lit(r.p), F.lit(n)]
-        n += r["count"]
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    offset = F.element_at(F.create_map(*starts), F.shiftright("_at", 33))
-    return ids.withColumn(name, (offset + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_at")
+    part = F.shiftright("_at", 33)
+    counts = ids.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
+    starts = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    numbered = ids.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
 
 
 def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
