@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions import scalars as X
 from ..functions import text as Y
 from ..operators import label_metrics, leakage, predict, preference, structured, validate
@@ -325,8 +326,11 @@ g as (select *, 1.0 / (1.0 + exp((xi - xn) / 0.5)) as gn from n)
 """
 
 
+_UNSURE = "case when assigned_label_text = 'positive' then coalesce(" + ", ".join(f"nullif(regexp_extract(lower(report), '{p}'), '')" for p in S.UNCERTAINTY) + ", '') else '' end"
+
+
 def _margin_sql(mode: str, m0=0.1202, an=1.1497, ai=0.3247, lo=0.0, hi=0.7819) -> str:
-    u = "case when assigned_label_text = 'positive' and regexp_matches(lower(report), 'possible|possibly') then 0.2 else 0.0 end" if mode == "uncertainty" else "0.0"
+    u = f"case when {_UNSURE} <> '' then 0.2 else 0.0 end" if mode == "uncertainty" else "0.0"
     body = "0.5" if mode == "fixed" else f"case error_mode when 'FP' then {m0} + {an} * gn * xn + {u} when 'FN' then {m0} + {ai} * (1 - gn) * xi else {m0} end"
     return f"m as (select *, round(greatest({lo}, least({hi}, {body}))::double, 6) as margin from g)"
 
@@ -349,9 +353,9 @@ for _mode in ("adaptive", "fixed"):
     ORACLE_SQL[f"margins_{_mode}"] = _STATS + ", " + _margin_sql(_mode) + "select sample_id, rejected_type, round(margin, 4) as margin, round(round(xn, 6), 4) as s_neg_norm, round(round(xi, 6), 4) as s_imp_norm, round(round(gn, 6), 4) as g_neg from m"
 
 
-@query()
+@query(_STATS + ", " + _margin_sql("uncertainty") + f"select sample_id, rejected_type, round(margin, 4) as margin, {_UNSURE} as uncertainty_hit from m")
 def margins_uncertainty(spark, sf_dir):
-    return _margins(spark, sf_dir, "uncertainty").select("sample_id", "rejected_type", "margin", "uncertainty_hit")
+    return _r(_margins(spark, sf_dir, "uncertainty").select("sample_id", "rejected_type", "margin", "uncertainty_hit"), 4)
 
 
 @query(_STATS + ", " + _margin_sql("adaptive") + "select split, error_mode, count(*) as n, round(min(margin), 4) as min, round(max(margin), 4) as max, round(avg(margin), 4) as mean from m group by all")
@@ -385,6 +389,36 @@ def rationale_rules(spark, sf_dir):
     return validate.reason_counts(rows.withColumn("reason", reason))
 
 
+# what a record's prompt says, read back from it
+
+@query(f"with {V.AUDIT} select sample_id, md5(trim(report, ' ' || chr(9) || chr(10) || chr(13))) as report_md5, finding_category as finding, assigned_label_text as assigned from gold")
+def prompt_parts(spark, sf_dir):
+    prompt = F.col("input")
+    rows = preference.sft(V.enriched(spark, sf_dir))
+    return rows.select("sample_id", F.md5(Y.report_of(prompt, or_separator=True).cast("binary")).alias("report_md5"), Y.field_of(prompt, "Finding").alias("finding"), Y.field_of(prompt, "Assigned label").alias("assigned"))
+
+
+@query("select conv_id, turn, coalesce(nullif(text, ''), 'Report: ' || role, '') as text from conversations")
+def record_text(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("input_text"), F.col("role").alias("report"))
+    return c.select("conv_id", "turn", F.coalesce(X.record_text(c.columns), F.lit("")).alias("text"))
+
+
+@query("""with x as (select l_orderkey, l_linenumber, [l_quantity::double, l_extendedprice::double / 1000, l_discount::double * 300] as v from lineitem)
+select l_orderkey, l_linenumber, case when v[1] >= v[2] and v[1] >= v[3] then 'none' when v[2] >= v[3] then 'false_positive' else 'false_negative' end as predicted from x""")
+def argmax_of_logits(spark, sf_dir):
+    li = V.table(spark, sf_dir, "lineitem")
+    logits = F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 1000, F.col("l_discount").cast("double") * 300)
+    return li.select("l_orderkey", "l_linenumber", structured.argmax_label(logits).alias("predicted"))
+
+
+@query(f"with {V.AUDIT} select sample_id, case when doc_id % 3 = 0 then 'Told of ' || sample_id end as rationale from gold")
+def cached_rationales(spark, sf_dir):
+    audit = V.audit(spark, sf_dir)
+    cache = audit.where("doc_id % 3 = 0").select("sample_id", F.concat(F.lit("Told of "), F.col("sample_id")).alias("rationale"))
+    return preference.enriched(audit, cache=cache, cues=V.CUES).select("sample_id", "rationale")
+
+
 # caches and resumption: events by user
 
 @query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id")
