@@ -89,14 +89,24 @@ def solve(histogram: dict[int, int], size: int = SIZE, gain: float = GAIN) -> Pl
         out[[row[r] for r in a]] = list(a.values())
         return out
 
-    inverse = np.linalg.inv(np.stack([vector(a) for _, a, _ in columns], 1))
+    inverse = np.eye(m)  # of the first basis: what is cut of a length comes down to all of its parts
+    for r in rows:
+        q = r
+        while q & (q - 1):
+            q -= top(q)
+            inverse[row[q], row[r]] = 1
     demand = np.array([histogram.get(r, 0) for r in rows], float) + 1e-7 * np.arange(1, m + 1)
     tokens = float(demand @ np.array(rows, float))
     x, y = inverse @ demand, np.array([c for _, _, c in columns]) @ inverse
     cuttable = [r for r in rows if r & (r - 1)]
     long, rest = (np.array(v, int) for v in ([row[r] for r in cuttable], [row[r - top(r)] for r in cuttable]))
     steps, past, change = 0, [], np.empty((m, m))
+    sound = columns.copy(), x.copy()
     while True:
+        if not (np.isfinite(y).all() and np.isfinite(x).all()):  # a basis that rounding errors made singular
+            columns, x = sound
+            break
+        sound = columns.copy(), x.copy()
         dual = np.full(size, -np.inf)
         dual[rows] = y
         value, last = _price(dual, size)
@@ -126,12 +136,12 @@ def solve(histogram: dict[int, int], size: int = SIZE, gain: float = GAIN) -> Pl
         while True:
             gains = costs - held @ y
             best = int(np.argmin(gains))
-            if gains[best] >= -1e-6:
+            if not gains[best] < -1e-6:
                 break
             some = np.flatnonzero(held[best])
             u = inverse[:, some] @ held[best, some]
             costs[best] = np.inf
-            ok = u > 1e-9
+            ok = u > 1e-7
             if not ok.any():
                 continue
             ratio = np.full(m, np.inf)
@@ -147,9 +157,6 @@ def solve(histogram: dict[int, int], size: int = SIZE, gain: float = GAIN) -> Pl
             inverse -= change
             columns[out] = pool[best]
             moved, steps = True, steps + 1
-            if steps % 500 == 0:  # rounding errors add up
-                inverse = np.linalg.inv(np.stack([vector(a) for _, a, _ in columns], 1))
-                x, y = np.maximum(inverse @ demand, 0), np.array([c for _, _, c in columns]) @ inverse
         if not moved:
             break
     return _rounded(columns, x, histogram, rows, size)
