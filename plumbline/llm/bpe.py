@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -90,14 +91,14 @@ class Encoder:
 
     def _learn(self, names: list[int], words: list[bytes]) -> None:
         new = [self.merge(w) for w in words]
-        n, k = len(self.place), sum(map(len, new))
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        n, k = len(self.place), int(sizes.sum())
         for name, grown in (("sizes", n + len(new)), ("at", n + len(new)), ("ids", self.used + k)):
             if len(a := getattr(self, name)) < grown:
                 setattr(self, name, np.concatenate([a, np.zeros(max(grown, len(a)), a.dtype)]))
-        sizes = [len(x) for x in new]
         self.sizes[n : n + len(new)] = sizes
-        self.at[n : n + len(new)] = self.used + np.cumsum([0, *sizes])[:-1]
-        self.ids[self.used : self.used + k] = [i for x in new for i in x]
+        self.at[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + k] = np.fromiter(chain.from_iterable(new), np.uint32, k)
         self.used += k
         self.place.update(zip(names, range(n, n + len(new)), strict=True))
 
@@ -132,11 +133,16 @@ class Encoder:
         if len(self.place) > REMEMBERED:
             self.forget()
         listed = names.tolist()
-        unknown = [i for i, name in enumerate(listed) if name not in self.place]
-        if unknown:
-            raw = codes.tobytes()
-            self._learn([listed[i] for i in unknown], [raw[4 * starts[f] : 4 * ends[f]].decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for f in first[unknown].tolist()])
-        place = np.array([self.place[name] for name in listed])[every]
+        at = np.fromiter(map(self.place.get, listed, repeat(-1)), np.int64, len(listed))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            raw = "".join(texts).encode("utf-8", "surrogatepass")
+            byte = np.zeros(len(codes) + 1, np.int64)  # where each code point begins
+            np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF).astype(np.int8) + (codes > 0xFFFF), out=byte[1:])
+            begin, end = byte[starts[first[unknown]]].tolist(), byte[ends[first[unknown]]].tolist()
+            at[unknown] = len(self.place) + np.arange(len(unknown))
+            self._learn(names[unknown].tolist(), [raw[b:e] for b, e in zip(begin, end, strict=True)])
+        place = at[every]
         sizes = self.sizes[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.at[place] - total[:-1], sizes) + np.arange(total[-1])]
