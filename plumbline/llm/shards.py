@@ -234,16 +234,19 @@ class ShardStore:
         return gone
 
 
-def shard_documents(docs: DataFrame, path: str, *, arrivals: int = 2, target: int = TARGET, fan_in: int = 4) -> ShardStore:
-    """Append docs to a new store at path in so many arrivals (by a hash of all the row), compact and drop what was merged.
+def shard_documents(docs: DataFrame, path: str, *, arrivals: int | None = None, target: int = TARGET, fan_in: int = 4) -> ShardStore:
+    """Append docs to a new store at path in so many arrivals (by a hash of all the row), after each of which the store is compacted and drops what was merged.
+
+    arrivals: fan_in squared if none are named, so that arrivals of one shard each are merged, and what they were merged into is merged again.
 
     Any columns and rows are kept as they are: null and repeated rows, long and empty texts; an empty table makes a version without
     rows. Equal rows arrive together.
     """
     store = ShardStore(docs.sparkSession, path, target, fan_in)
+    arrivals = fan_in * fan_in if arrivals is None else arrivals
     part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")] or [F.lit(0)]), F.lit(arrivals))
     for i in range(arrivals):
         store.append(docs.where(part == i) if arrivals > 1 else docs)
-    store.compact()
-    store.expire()
+        store.compact()
+        store.expire()
     return store

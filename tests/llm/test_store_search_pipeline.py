@@ -46,6 +46,16 @@ def test_store(spark, tmp_path):
     assert empty.read().count() == 0 and empty.compact() == empty.manifest()["version"]
 
 
+def test_arrivals_are_merged_and_merged_again(spark, tmp_path, monkeypatch):
+    df = spark.range(4000).select("id", F.md5(F.col("id").cast("string")).alias("text")).coalesce(1)
+    write, written = shards.ShardStore._write, []
+    monkeypatch.setattr(shards.ShardStore, "_write", lambda self, rows, name: written.append(write(self, rows, name)) or written[-1])
+    store = shards.shard_documents(df, str(tmp_path / "s"))
+    assert [len(w) for w in written] == [1] * 21  # 16 arrivals, of which four at a time are merged, and these four
+    assert [s.size for s in store.shards()] == [written[-1][0].size]
+    assert sorted(r.id for r in store.read().collect()) == list(range(4000))
+
+
 def test_store_keeps_rows_of_any_kind(spark, tmp_path):
     rows = [(1, None), (1, None), (None, ""), (None, None), (2, "x" * 500_000), (2, "x" * 500_000), (3, "é\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
