@@ -92,19 +92,21 @@ def negation(found: Column, anchors: Column, cues: tuple[str, ...] = S.CUES) ->
     return let(best, lambda x: F.struct((F.lit(1.0) - F.exp(-x["score"])).alias("score"), x["text"].alias("text")))
 
 
-def implicit(found: Column, anchors: Column) -> Column:
+def implicit(found: Column, anchors: Column, wordless: Column | None = None) -> Column:
+    """struct<score, text>. wordless: the score, else 0, of a sentence without words, or of any without anchors."""
     def score(words: Column) -> Column:
         both = F.size(F.array_intersect(words, anchors)).cast("double")
-        return F.coalesce(F.try_divide(both, F.sqrt((F.size(words) * F.size(anchors)).cast("double"))), F.lit(0.0))
+        return F.coalesce(F.try_divide(both, F.sqrt((F.size(words) * F.size(anchors)).cast("double"))), F.lit(0.0) if wordless is None else wordless)
 
     return _best(found, lambda s: let(F.array_distinct(tokens(s)), score))
 
 
-def risk(report: Column, finding: Column, definition: Column, cues: tuple[str, ...] = S.CUES) -> Column:
-    """struct<s_neg, s_imp, neg_evidence, imp_evidence>, scores to six places."""
+def risk(report: Column, finding: Column, definition: Column, cues: tuple[str, ...] = S.CUES, wordless: float = 0.0) -> Column:
+    """struct<s_neg, s_imp, neg_evidence, imp_evidence>, scores to six places. wordless: s_imp of a report without words; a null report has 0."""
+    empty = F.when(report.isNull(), 0.0).otherwise(F.lit(float(wordless)))
 
     def both(found: Column, anchors: Column) -> Column:
-        parts = F.struct(negation(found, anchors, cues).alias("n"), implicit(found, anchors).alias("i"))
+        parts = F.struct(negation(found, anchors, cues).alias("n"), implicit(found, anchors, empty).alias("i"))
         return let(parts, lambda x: F.struct(F.round(x["n"]["score"], 6).alias("s_neg"), F.round(x["i"]["score"], 6).alias("s_imp"), x["n"]["text"].alias("neg_evidence"), x["i"]["text"].alias("imp_evidence")))
 
     return let(sentences(report), lambda found: let(anchor_terms(finding, definition), lambda anchors: both(found, anchors)))
