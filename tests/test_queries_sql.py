@@ -28,3 +28,7 @@ def same(spark, tmp_path_factory):
 
 def test_risk_signals(same):
     same("risk_signals")
+
+
+def test_build_summary(same):
+    same("build_summary")
