@@ -32,3 +32,7 @@ def test_risk_signals(same):
 
 def test_build_summary(same):
     same("build_summary")
+
+
+def test_dpo_records(same):
+    same("dpo_records")
