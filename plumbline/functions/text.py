@@ -140,13 +140,24 @@ def uncertainty(assigned: Column, report: Column, patterns: tuple[str, ...] = S.
     return F.struct(F.when(hit.isNotNull(), 1.0).otherwise(0.0).alias("score"), F.coalesce(hit, F.lit("")).alias("hit"))
 
 
-def clean_rationale(r: Column) -> Column:
+#: Letters that F.upper makes several of, with their capital of one letter; the others of that kind have none.
+CAPITALS = {"ß": "ẞ", "ᾳ": "ᾼ", "ῃ": "ῌ", "ῳ": "ῼ"} | {chr(row + i): chr(row + 8 + i) for row in (0x1F80, 0x1F90, 0x1FA0) for i in range(8)}
+
+
+def capital(letter: Column) -> Column:
+    """The capital of a letter that is one letter too, as in the SQL: ẞ for ß, and ŉ as it is. Letters that got theirs in Unicode 16 depend on the library."""
+    up = F.upper(letter)
+    return F.when(F.length(up) == F.length(letter), up).otherwise(F.translate(letter, "".join(CAPITALS), "".join(CAPITALS.values())))
+
+
+def clean_rationale(r: Column, upper: Callable[[Column], Column] = F.upper) -> Column:
+    """upper: of the first letter; F.upper makes SS of ß."""
     r = F.regexp_replace(F.btrim(r, F.lit(" \t\n\r")), r"(?U)\s+", " ")
     for old, new in S.REPAIRS:
         r = F.replace(r, F.lit(old), F.lit(new))
     for p in S.RATIONALE_PREFIXES:
         r = F.btrim(F.regexp_replace(r, f"(?iU){p}", ""))
-    return F.concat(F.upper(F.substring(r, 1, 1)), r.substr(F.lit(2), F.length(r)))
+    return F.concat(upper(F.substring(r, 1, 1)), r.substr(F.lit(2), F.length(r)))
 
 
 def word_count(t: Column) -> Column:
