@@ -96,6 +96,11 @@ def parse_binary(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, "([01])", 1).try_cast("int"), F.lit(0))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """v times 10 ** digits, rounded half away from 0, over 10 ** digits, all in doubles as SQL engines do: 0.27595 to four places is 0.2759. F.round goes by the shortest decimal instead."""
+    return F.round(v * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def min_max(v: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / (high - low)))
 

@@ -113,7 +113,7 @@ def margins(pairs: DataFrame, stats: DataFrame | None = None, mode: str = "adapt
         margin = F.when(F.col("error_mode") == "FP", base + F.lit(float(alpha_neg)) * F.col("_g") * F.col("_neg") + more).when(F.col("error_mode") == "FN", base + F.lit(float(alpha_imp)) * (1 - F.col("_g")) * F.col("_imp")).otherwise(base)
     margin = F.greatest(F.lit(float(m_min)), F.least(F.lit(float(m_max)), margin))
     new = {"margin": margin, "s_neg_norm": F.col("_neg"), "s_imp_norm": F.col("_imp"), "g_neg": F.col("_g"), "g_imp": 1 - F.col("_g"), "s_uncertainty_positive": F.col("_unc.score")}
-    return df.select(*[F.col(f"`{c}`") for c in pairs.columns], *[F.round(v, 6).alias(prefix + k) for k, v in new.items()], F.col("_unc.hit").alias(f"{prefix}uncertainty_hit"))
+    return df.select(*[F.col(f"`{c}`") for c in pairs.columns], *[X.rounded(v, 6).alias(prefix + k) for k, v in new.items()], F.col("_unc.hit").alias(f"{prefix}uncertainty_hit"))
 
 
 def margin_summary(marked: DataFrame, prefix: str = "") -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import scalars as X
 from plumbline.functions import text as Y
 from plumbline.plans.queries import ORACLE_SQL, QUERIES
 
@@ -47,3 +48,11 @@ def test_clean_rationale_words(same, spark):
     got = dict(letters.where("length(c) = 1").select("c", Y.capital(F.col("c"))).collect())
     want = dict(duckdb.execute("select chr(i::int), upper(chr(i::int)) from range(1, 65536) t(i) where i not between 55296 and 57343").fetchall())
     assert {c for c in got if got[c] != want[c]} <= set("\u019b\u0264\u1c8a\ua7cd\ua7db")  # capitals of Unicode 16
+
+
+def test_margins_adaptive(same, spark):
+    same("margins_adaptive")
+    odd = spark.range(1, 20000, 2).select((F.col("id") / 20000.0).alias("x")).select("x", X.rounded(F.col("x"), 4).alias("y"))
+    assert duckdb.execute("select round(0.27595::double, 4)").fetchone() == odd.where("x = 0.27595").select("y").first() == (0.2759,)
+    want = duckdb.execute("select round(i / 20000.0::double, 4) from range(1, 20000, 2) t(i) order by i").fetchall()
+    assert [r.y for r in odd.orderBy("x").collect()] == [y for (y,) in want]
