@@ -56,3 +56,7 @@ def test_margins_adaptive(same, spark):
     assert duckdb.execute("select round(0.27595::double, 4)").fetchone() == odd.where("x = 0.27595").select("y").first() == (0.2759,)
     want = duckdb.execute("select round(i / 20000.0::double, 4) from range(1, 20000, 2) t(i) order by i").fetchall()
     assert [r.y for r in odd.orderBy("x").collect()] == [y for (y,) in want]
+
+
+def test_margins_fixed(same):
+    same("margins_fixed")
