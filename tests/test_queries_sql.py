@@ -60,3 +60,7 @@ def test_margins_adaptive(same, spark):
 
 def test_margins_fixed(same):
     same("margins_fixed")
+
+
+def test_margins_uncertainty(same):
+    same("margins_uncertainty")
