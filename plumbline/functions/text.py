@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from . import scalars as X
+
+
+class Reading(NamedTuple):
+    """How reports are read: by default as the reference's Python does, or, as SQL says, as the queries' SQL does."""
+
+    flag: str = "U"  # of patterns with spaces or headers
+    space: str = r"\s"  # in a character class
+    ends: str = " "  # trimmed from the flat report
+    cuts: str = ""  # ends a sentence too
+    short: bool = False  # a letter's other case is one letter: i for İ, and ß has no SS
+
+
+PYTHON = Reading()
+#: White space is ASCII's without \v; U+0001 is what the SQL splits at.
+SQL = Reading("u", r"\t\n\f\r ", " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000", "|\x01", True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,36 +34,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def tokens(t: Column) -> Column:
+def lowered(t: Column, reading: Reading = PYTHON) -> Column:
+    return F.lower(F.when(F.contains(t, F.lit("İ")), F.translate(t, "İ", "i")).otherwise(t) if reading.short else t)
+
+
+def tokens(t: Column, reading: Reading = PYTHON) -> Column:
     """Lower-case runs of two or more ASCII letters and hyphens that begin with a letter."""
-    return F.regexp_extract_all(F.lower(t), F.lit(r"([a-zA-Z][a-zA-Z\-]+)"), F.lit(1))
+    return F.regexp_extract_all(lowered(t, reading), F.lit(r"([a-zA-Z][a-zA-Z\-]+)"), F.lit(1))
 
 
 def _dotless(s: Column) -> Column:
     return F.btrim(s, F.lit(" ."))
 
 
-def normalize_sentence(s: Column) -> Column:
+def normalize_sentence(s: Column, reading: Reading = PYTHON) -> Column:
     """Without dots and spaces at its ends and headers at its head; empty with fewer than two tokens or as a bare header."""
     heads = "|".join(S.HEADERS)
-    bare = _dotless(F.regexp_replace(_dotless(s), rf"(?iU)^[ .]*(?:(?:{heads})[:.\s-]*[ .]*)*", ""))
-    return let(bare, lambda s: F.when((F.size(tokens(s)) < 2) | F.upper(s).isin(*S.BARE_HEADERS), "").otherwise(s))
+    bare = _dotless(F.regexp_replace(_dotless(s), rf"(?i{reading.flag})^[ .]*(?:(?:{heads})[:.{reading.space}-]*[ .]*)*", ""))
+    header = lambda s: F.upper(s).isin(*S.BARE_HEADERS) & (F.length(F.upper(s)) == F.length(s) if reading.short else F.lit(True))
+    return let(bare, lambda s: F.when((F.size(tokens(s, reading)) < 2) | header(s), "").otherwise(s))
 
 
-def flat_report(report: Column) -> Column:
+def flat_report(report: Column, reading: Reading = PYTHON) -> Column:
     t = F.replace(F.replace(report, F.lit("\n"), F.lit(" ")), F.lit(":."), F.lit(": "))
     t = F.regexp_replace(t, r"\.(?=[A-Z_])", ". ")
-    return F.btrim(F.regexp_replace(t, r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(t, rf"(?{reading.flag})[{reading.space}]+", " "), F.lit(reading.ends))
 
 
-def sentences(report: Column) -> Column:
+def sentences(report: Column, reading: Reading = PYTHON) -> Column:
     """The normalized sentences; the flat report if none is left."""
 
     def of(flat: Column) -> Column:
-        kept = F.filter(F.transform(F.split(flat, r"(?U)(?<=[.!?])\s+"), normalize_sentence), lambda s: s != "")
+        kept = F.filter(F.transform(F.split(flat, rf"(?{reading.flag})(?<=[.!?])[{reading.space}]+{reading.cuts}"), lambda s: normalize_sentence(s, reading)), lambda s: s != "")
         return let(kept, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(flat)))
 
-    return let(flat_report(F.coalesce(report, F.lit(""))), of)
+    return let(flat_report(F.coalesce(report, F.lit("")), reading), of)
 
 
 def anchor_terms(finding: Column, definition: Column, stop_words: tuple[str, ...] = S.STOP_WORDS) -> Column:
@@ -65,7 +87,7 @@ def cue_positions(words: Column, cue: str) -> Column:
     return F.filter(_positions(width), lambda i: F.slice(words, i + 1, F.lit(len(parts))) == wanted)
 
 
-def sentence_negation(sentence: Column, anchors: Column, cues: tuple[str, ...] = S.CUES) -> Column:
+def sentence_negation(sentence: Column, anchors: Column, cues: tuple[str, ...] = S.CUES, reading: Reading = PYTHON) -> Column:
     """Over cues and their positions: 1 / (distance to the nearest anchor + 1), or 0.15 in a sentence without anchors."""
     hit = lambda w: F.array_contains(anchors, w) | F.array_contains(anchors, F.rtrim(w, F.lit("s")))
 
@@ -77,7 +99,7 @@ def sentence_negation(sentence: Column, anchors: Column, cues: tuple[str, ...] =
     at = lambda words: F.filter(_positions(F.size(words)), lambda i: hit(F.get(words, i)))
     heads = F.array(*[F.lit(c) for c in dict.fromkeys(cue.split()[0] for cue in cues)])  # most sentences have none of these
     told = lambda words: let(at(words), lambda places: total(words, places))
-    return let(tokens(sentence), lambda words: F.when(F.arrays_overlap(words, heads), told(words)).otherwise(F.lit(0.0)))
+    return let(tokens(sentence, reading), lambda words: F.when(F.arrays_overlap(words, heads), told(words)).otherwise(F.lit(0.0)))
 
 
 def _best(found: Column, score) -> Column:
@@ -87,29 +109,29 @@ def _best(found: Column, score) -> Column:
     return F.aggregate(scored, none, lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
 
 
-def negation(found: Column, anchors: Column, cues: tuple[str, ...] = S.CUES) -> Column:
-    best = _best(found, lambda s: sentence_negation(s, anchors, cues))
+def negation(found: Column, anchors: Column, cues: tuple[str, ...] = S.CUES, reading: Reading = PYTHON) -> Column:
+    best = _best(found, lambda s: sentence_negation(s, anchors, cues, reading))
     return let(best, lambda x: F.struct((F.lit(1.0) - F.exp(-x["score"])).alias("score"), x["text"].alias("text")))
 
 
-def implicit(found: Column, anchors: Column, wordless: Column | None = None) -> Column:
+def implicit(found: Column, anchors: Column, wordless: Column | None = None, reading: Reading = PYTHON) -> Column:
     """struct<score, text>. wordless: the score, else 0, of a sentence without words, or of any without anchors."""
     def score(words: Column) -> Column:
         both = F.size(F.array_intersect(words, anchors)).cast("double")
         return F.coalesce(F.try_divide(both, F.sqrt((F.size(words) * F.size(anchors)).cast("double"))), F.lit(0.0) if wordless is None else wordless)
 
-    return _best(found, lambda s: let(F.array_distinct(tokens(s)), score))
+    return _best(found, lambda s: let(F.array_distinct(tokens(s, reading)), score))
 
 
-def risk(report: Column, finding: Column, definition: Column, cues: tuple[str, ...] = S.CUES, wordless: float = 0.0) -> Column:
+def risk(report: Column, finding: Column, definition: Column, cues: tuple[str, ...] = S.CUES, wordless: float = 0.0, reading: Reading = PYTHON) -> Column:
     """struct<s_neg, s_imp, neg_evidence, imp_evidence>, scores to six places. wordless: s_imp of a report without words; a null report has 0."""
     empty = F.when(report.isNull(), 0.0).otherwise(F.lit(float(wordless)))
 
     def both(found: Column, anchors: Column) -> Column:
-        parts = F.struct(negation(found, anchors, cues).alias("n"), implicit(found, anchors, empty).alias("i"))
-        return let(parts, lambda x: F.struct(F.round(x["n"]["score"], 6).alias("s_neg"), F.round(x["i"]["score"], 6).alias("s_imp"), x["n"]["text"].alias("neg_evidence"), x["i"]["text"].alias("imp_evidence")))
+        parts = F.struct(negation(found, anchors, cues, reading).alias("n"), implicit(found, anchors, empty, reading).alias("i"))
+        return let(parts, lambda x: F.struct(X.rounded(x["n"]["score"], 6).alias("s_neg"), X.rounded(x["i"]["score"], 6).alias("s_imp"), x["n"]["text"].alias("neg_evidence"), x["i"]["text"].alias("imp_evidence")))
 
-    return let(sentences(report), lambda found: let(anchor_terms(finding, definition), lambda anchors: both(found, anchors)))
+    return let(sentences(report, reading), lambda found: let(anchor_terms(finding, definition), lambda anchors: both(found, anchors)))
 
 
 def normalize_text(t: Column) -> Column:

@@ -12,7 +12,7 @@ from ..functions import text as Y
 PRESETS = {"default": {"m0": 0.1, "alpha_neg": 1.0, "alpha_imp": 1.0, "m_min": 0.0, "m_max": 0.5}, "selected": {"m0": 0.1202, "alpha_neg": 1.1497, "alpha_imp": 0.3247, "m_min": 0.0, "m_max": 0.7819}}
 
 
-def enriched(audit: DataFrame, cache: DataFrame | None = None, fallback: str = "minimal", require_rationale: bool = False, cues: tuple[str, ...] = S.CUES, wordless: float = 0.0) -> DataFrame:
+def enriched(audit: DataFrame, cache: DataFrame | None = None, fallback: str = "minimal", require_rationale: bool = False, cues: tuple[str, ...] = S.CUES, wordless: float = 0.0, reading: Y.Reading = Y.PYTHON) -> DataFrame:
     """Audit rows with their risk signals, gold labels, input text and rationale. Every sink reads from this one frame. wordless: s_imp of a report without words."""
     if fallback not in ("minimal", "template"):
         raise ValueError(f"unknown fallback: {fallback}")
@@ -23,7 +23,7 @@ def enriched(audit: DataFrame, cache: DataFrame | None = None, fallback: str = "
         df = df.withColumn("_cached", F.lit(None).cast("string"))
     if require_rationale:
         df = df.withColumn("_cached", F.coalesce("_cached", F.raise_error(F.concat(F.lit("no rationale for "), F.col("sample_id"))).cast("string")))
-    df = df.withColumns({"risk": Y.risk(F.col("report"), F.col("finding_category"), F.col("finding_definition"), cues, wordless), "reference_label_text": X.label_text(F.col("reference_label")), "gold_correctness": X.correctness(F.col("audit_label")), "gold_error_type": X.error_type(F.col("corruption_type")), "error_mode": X.error_mode(F.col("corruption_type"))})
+    df = df.withColumns({"risk": Y.risk(F.col("report"), F.col("finding_category"), F.col("finding_definition"), cues, wordless, reading), "reference_label_text": X.label_text(F.col("reference_label")), "gold_correctness": X.correctness(F.col("audit_label")), "gold_error_type": X.error_type(F.col("corruption_type")), "error_mode": X.error_mode(F.col("corruption_type"))})
     text = X.template_rationale(F.col("finding_category"), F.col("assigned_label_text"), F.col("reference_label_text"), F.col("gold_correctness")) if fallback == "template" else F.lit(None).cast("string")
     df = df.withColumn("rationale", F.coalesce("_cached", text)).drop("_cached")
     return df.withColumns({"instruction": F.lit(S.INSTRUCTION), "input": X.input_text(F.col("report"), F.col("finding_category"), F.col("finding_definition"), F.col("assigned_label_text")), "s_neg": F.col("risk.s_neg"), "s_imp": F.col("risk.s_imp")})
