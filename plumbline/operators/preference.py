@@ -67,7 +67,7 @@ def build_summary(rows: DataFrame) -> DataFrame:
     name = F.lit(None).cast("string")
     for c in columns:
         name = F.when(F.grouping(c) == 0, c).otherwise(name)
-    out = rows.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(name.alias("grouping"), F.count(F.lit(1)).alias("n"), F.round(F.avg("s_neg"), 6).alias("mean_s_neg"), F.round(F.avg("s_imp"), 6).alias("mean_s_imp"))
+    out = rows.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns]).agg(name.alias("grouping"), F.count(F.lit(1)).alias("n"), X.rounded(F.avg("s_neg"), 6).alias("mean_s_neg"), X.rounded(F.avg("s_imp"), 6).alias("mean_s_imp"))
     return out.select("grouping", F.coalesce(*columns).alias("value"), "n", "mean_s_neg", "mean_s_imp")
 
 
