@@ -75,11 +75,11 @@ def rejected_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("split", "rejected_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def margin_stats(pairs: DataFrame, low: float = 0.01, high: float = 0.99, split: str = "train") -> DataFrame:
-    """One row: quantiles of both signals over a split's pairs; an empty split has 0, and a range is never empty."""
+def margin_stats(pairs: DataFrame, low: float = 0.01, high: float = 0.99, split: str = "train", empty: float | None = 0.0) -> DataFrame:
+    """One row: quantiles of both signals over a split's pairs; an empty split has `empty`, and a range is never empty."""
     cols = []
     for c in ("s_neg", "s_imp"):
-        q = lambda p, c=c: F.coalesce(F.percentile(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), p), F.lit(0.0))
+        q = lambda p, c=c: F.coalesce(F.percentile(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), p), F.lit(empty).cast("double"))
         cols += [q(low).alias(f"{c}_lo"), q(high).alias(f"{c}_hi")]
     out = pairs.where(F.col("split") == split).agg(*cols)
     for c in ("s_neg", "s_imp"):
