@@ -22,11 +22,12 @@ class Reading(NamedTuple):
     ends: str = " "  # trimmed from the flat report
     cuts: str = ""  # ends a sentence too
     short: bool = False  # a letter's other case is one letter: i for İ, and ß has no SS
+    edge: str = r"\b"  # of a word
 
 
 PYTHON = Reading()
 #: White space is ASCII's without \v; U+0001 is what the SQL splits at.
-SQL = Reading("u", r"\t\n\f\r ", " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000", "|\x01", True)
+SQL = Reading("u", r"\t\n\f\r ", " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000", "|\x01", True, r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -154,10 +155,10 @@ def field_of(prompt: Column, name: str) -> Column:
     return F.btrim(F.regexp_extract(prompt, rf"{name}:\s*(.+)", 1))
 
 
-def uncertainty(assigned: Column, report: Column, patterns: tuple[str, ...] = S.UNCERTAINTY) -> Column:
+def uncertainty(assigned: Column, report: Column, patterns: tuple[str, ...] = S.UNCERTAINTY, reading: Reading = PYTHON) -> Column:
     """struct<score, hit>: the first pattern, in the list's order, that a positive label's report holds."""
-    low = F.lower(F.coalesce(report, F.lit("")))
-    hit = F.coalesce(*[F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p in patterns])
+    low = lowered(F.coalesce(report, F.lit("")), reading)
+    hit = F.coalesce(*[F.nullif(F.regexp_extract(low, p.replace(r"\b", reading.edge), 0), F.lit("")) for p in patterns])
     hit = F.when(F.lower(assigned) == "positive", hit)
     return F.struct(F.when(hit.isNotNull(), 1.0).otherwise(0.0).alias("score"), F.coalesce(hit, F.lit("")).alias("hit"))
 

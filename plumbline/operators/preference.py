@@ -87,11 +87,12 @@ def margin_stats(pairs: DataFrame, low: float = 0.01, high: float = 0.99, split:
     return out
 
 
-def margins(pairs: DataFrame, stats: DataFrame | None = None, mode: str = "adaptive", *, m0: float = 0.1, alpha_neg: float = 1.0, alpha_imp: float = 1.0, alpha_unc: float = 0.2, tau: float = 0.5, m_min: float = 0.0, m_max: float = 0.5, fixed_margin: float = 0.5, low: float = 0.01, high: float = 0.99, prefix: str = "") -> DataFrame:
+def margins(pairs: DataFrame, stats: DataFrame | None = None, mode: str = "adaptive", *, m0: float = 0.1, alpha_neg: float = 1.0, alpha_imp: float = 1.0, alpha_unc: float = 0.2, tau: float = 0.5, m_min: float = 0.0, m_max: float = 0.5, fixed_margin: float = 0.5, low: float = 0.01, high: float = 0.99, prefix: str = "", report: Column | None = None, reading: Y.Reading = Y.PYTHON) -> DataFrame:
     """pairs with their margin and its parts. Modes: adaptive, uncertainty (positive labels of uncertain reports get more), fixed.
 
     False positives grow with the negation signal, false negatives with the overlap signal, each times its share in a softmax of
-    both; correct labels have m0. prefix: of the new columns' names, where a trainer wants one.
+    both; correct labels have m0. prefix: of the new columns' names, where a trainer wants one. report: else what the prompt has
+    between `Report:` and the first `Finding:`.
     """
     if mode not in ("adaptive", "uncertainty", "fixed"):
         raise ValueError(f"unknown mode: {mode}")
@@ -102,7 +103,7 @@ def margins(pairs: DataFrame, stats: DataFrame | None = None, mode: str = "adapt
     imp = X.min_max(value("s_imp"), F.col("s_imp_lo"), F.col("s_imp_hi"))
     prompt = F.coalesce(X.first_of(("input", "instruction", "prompt"), pairs.columns), F.lit(""))
     assigned = F.coalesce(X.first_of(("assigned_label_text",), pairs.columns), Y.field_of(prompt, "Assigned label"))
-    unc = Y.uncertainty(assigned, Y.report_of(prompt))
+    unc = Y.uncertainty(assigned, Y.report_of(prompt) if report is None else report, reading=reading)
     df = df.withColumns({"_neg": neg, "_imp": imp, "_unc": unc})
     df = df.withColumn("_g", X.gate(F.col("_neg"), F.col("_imp"), tau))
     base = F.lit(float(m0))
