@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, discard, even_keys, materialize, maybe_broadcast, partitions, text_chunks, trim
+from .common import BROADCAST_ROWS, batch_of, discard, even_keys, materialize, maybe_broadcast, partitions, text_chunks, trim
 from .components import components
 from .hashing import U, mix, mix_int, shingle_sets
 
@@ -37,6 +37,8 @@ SKETCH = 512
 LARGE = 400
 #: Nodes of a component that a block has, about, where links are counted; of a group, where its members are compared by sketches.
 BLOCK, WIDE = 512, 2048
+#: Bytes of long sketches up to which they are broadcast.
+SKETCHES = 8 << 20
 #: Signatures that a task holds before it passes them on.
 HELD = 1 << 19
 
@@ -278,14 +280,17 @@ def _screened(g: Fraction):
 
 
 def _verified(g: Fraction):
+    """The pairs that are links. Rows come sorted by pair, two for each with the sets of its ends."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, b""
         for batch in batches:
             rows: list[list] = [[], []]
-            last, one = None, None
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "fa", "fb")), strict=True):
-                if a != last:
-                    last, one = a, np.frombuffer(x, U)
-                two = np.frombuffer(y, U)
+            for a, b, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "features")), strict=True):
+                if last != (a, b):
+                    last, x = (a, b), y
+                    continue
+                one, two = np.frombuffer(x, U), np.frombuffer(y, U)
                 at = np.searchsorted(one, two)
                 both = int((one[np.minimum(at, len(one) - 1)] == two).sum())
                 if g.denominator * both >= g.numerator * (len(one) + len(two) - both):
@@ -445,55 +450,70 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
     nodes = materialize(docs.mapInArrow(_nodes(words), _as_spark(_NODES)), "nodes")
     named = docs.where("doc_id is not null")
     whole = nodes.where("node is not null and doc_id is not null")
+    several = whole.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = materialize(several.select("doc_id", "a", "b"), "several")
+    repeated = several.count()  # without any, a node's set is read once and its rows are its documents
     lowest = F.min(F.struct("doc_id", "n", "sketch", "long"))
-    reps = whole.groupBy("node").agg(lowest.alias("low"), F.max("doc_id").alias("top"))
-    reps = materialize(reps.select("node", F.col("low.doc_id").alias("rep"), "top", F.col("low.n").alias("n"), F.col("low.sketch").alias("sketch"), F.col("low.long").alias("long")), "reps")
+    copies = F.countDistinct("doc_id") if repeated else F.count(F.lit(1))
+    reps = whole.groupBy("node").agg(lowest.alias("low"), copies.alias("copies"))
+    reps = materialize(reps.select("node", F.col("low.doc_id").alias("rep"), "copies", F.col("low.n").alias("n"), F.col("low.sketch").alias("sketch"), F.col("low.long").alias("long")), "reps")
 
     keys = even_keys(4 * partitions(spark), partitions(spark))
     blobs = named.mapInArrow(_signed(words, scheme, keys), _as_spark(_BLOBS)).repartition(partitions(spark), "part").sortWithinPartitions("part")
     groups = blobs.mapInArrow(_grouped, _as_spark(_GROUPS))
     groups = materialize(groups.groupBy("gid", "chunk").agg(F.first("pivot").alias("pivot"), F.first("size").alias("size"), F.sum("weight").alias("weight"), F.first("members").alias("members")), "groups")
 
+    def ends(pairs: DataFrame, *more: str) -> DataFrame:
+        return pairs.select(*more, F.explode(F.array("a", "b")).alias("node"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of the nodes wanted, made again from the texts of one document each, and other sets of these documents."""
+        few = maybe_broadcast(wanted.select(F.col("rep").alias("doc_id")))
+        sets = named.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), _as_spark(_SETS))
+        return sets.dropDuplicates(["node"]) if repeated else sets
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs. The sets of those that pass the screen are made again from the texts of one document each."""
-        ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-        asked = materialize(ends(pairs), "asked")
-        asked_reps = materialize(reps.join(maybe_broadcast(asked), "node", "left_semi").select("node", "rep", "n", "long"), "asked-reps")
-        x = asked_reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"))
-        y = asked_reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"))
+        """The links among pairs, of which none comes twice. Both sets of each that passes the screen go to one task."""
+        asked = materialize(reps.join(maybe_broadcast(ends(pairs)), "node", "left_semi").select("node", "rep", "n", "long"), "asked")
+        x = asked.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("long").alias("la"))
+        y = asked.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("long").alias("lb"))
+        if (asked.agg(F.sum(F.length("long") + 64)).first()[0] or 0) <= SKETCHES:
+            x, y = F.broadcast(x), F.broadcast(y)
         screened = materialize(pairs.join(y, "b").join(x, "a").mapInArrow(_screened(g), _as_spark(_PAIRS)), "screened")
-        wanted = materialize(asked_reps.select("node", "rep").join(ends(screened), "node", "left_semi"), "wanted")
-        few = maybe_broadcast(wanted.select(F.col("rep").alias("doc_id")).distinct(), wanted.count())
-        sets = named.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), _as_spark(_SETS)).dropDuplicates(["node"])
-        a = sets.select(F.col("node").alias("a"), F.col("features").alias("fa"))
-        b = sets.select(F.col("node").alias("b"), F.col("features").alias("fb"))
-        found = materialize(screened.join(b, "b").join(a, "a").mapInArrow(_verified(g), _as_spark(_PAIRS)).distinct(), "verified")
-        discard(wanted, screened, asked, asked_reps)
+        left = 2 * screened.count()
+        wanted = materialize(asked.select("node", "rep").join(maybe_broadcast(ends(screened), left), "node", "left_semi"), "wanted")
+        sent = sets_of(wanted).join(maybe_broadcast(ends(screened, "a", "b"), left), "node").select("a", "b", "features")
+        sent = sent.repartition(partitions(spark), "a", "b").sortWithinPartitions("a", "b")
+        found = materialize(sent.mapInArrow(_verified(g), _as_spark(_PAIRS)), "verified")
+        discard(wanted, screened, asked)
         return found
 
-    shared = groups.select("pivot", "weight", F.explode("members").alias("node")).where("node <> pivot").groupBy("node", "pivot").agg(F.sum("weight").alias("weight"))
-    best = shared.groupBy("node").agg(F.max_by("pivot", F.struct("weight", -F.col("pivot"))).alias("pivot"))
-    tested = materialize(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "tested")
-    # texts under one doc_id are one document
-    several = whole.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
-    several = materialize(several, "several")
-    bridges = whole.join(maybe_broadcast(several), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = verified(tested).union(materialize(bridges, "bridges"))
+    # a pivot is the smallest of its group, so that no pair comes twice
+    shared = groups.select("pivot", "weight", F.explode("members").alias("node")).where("node <> pivot").repartition(partitions(spark), "node")
+    best = shared.groupBy("node", "pivot").agg(F.sum("weight").alias("weight")).groupBy("node").agg(F.max_by("pivot", F.struct("weight", -F.col("pivot"))).alias("pivot"))
+    tested = materialize(best.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "tested")
+    links = verified(tested)
+    if repeated:  # texts under one doc_id are one document
+        bridges = whole.join(maybe_broadcast(several.where("a < b").select("doc_id", "a")), "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        links = links.union(materialize(bridges, "bridges"))
     found = materialize(components(links, "a", "b"), "components")
 
     # what a group has in different components: first each member's nearest, which joins most of them, then every pair that is left
     for nearest in (True, True, False):
-        long = F.lit(None).cast("binary") if nearest else F.when(F.col("n") >= LARGE, F.col("long"))
-        member = groups.select("gid", "size", F.explode("members").alias("node")).join(found, "node", "left").select("gid", "size", "node", F.coalesce("label", "node").alias("label"))
-        mixed = member.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-        member = _blocks(member.join(mixed, "gid", "left_semi"), WIDE)
-        rest = member.join(reps.select("node", "n", "sketch", long.alias("long")), "node").select("gid", "lo", "hi", "block", "node", "label", "n", "sketch", "long")
-        rest = rest.repartition(partitions(spark), "gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
+        few, long = maybe_broadcast(found), F.lit(None).cast("binary") if nearest else F.when(F.col("n") >= LARGE, F.col("long"))
+        labelled = lambda x: x.select("gid", "size", F.explode("members").alias("node")).join(few, "node", "left").select("gid", "size", "node", F.coalesce("label", "node").alias("label"))  # noqa: E731, B023
+        mixed = materialize(labelled(groups).groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid"), "mixed")
+        member = materialize(_blocks(labelled(groups.join(maybe_broadcast(mixed), "gid", "left_semi")), WIDE), "apart-members")
+        rest = reps.select("node", "n", "sketch", long.alias("long")).join(maybe_broadcast(member, limit=BROADCAST_ROWS // 4), "node")
+        rest = rest.select("gid", "lo", "hi", "block", "node", "label", "n", "sketch", "long").repartition(partitions(spark), "gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
         rest = materialize(rest.mapInArrow(_apart(g, nearest), _as_spark(_PAIRS)).distinct(), "apart")
+        discard(mixed, member)
         if rest.isEmpty():
             break
-        new = materialize(rest.join(tested, ["a", "b"], "left_anti"), "tested")
+        new = materialize(rest.join(maybe_broadcast(tested), ["a", "b"], "left_anti"), "tested")
         discard(rest)
+        if new.isEmpty():
+            continue
         more = verified(new)
         tested = tested.union(new)
         if not more.isEmpty():
@@ -502,27 +522,22 @@ def near_duplicates(docs: DataFrame, similarity: float | Fraction | str = "0.8",
             discard(old)
     discard(groups, tested)
 
-    # of every node that has copies or links: the smallest document of its component
-    many = reps.select("node", "rep", "top").join(found, "node", "left").where("label is not null or top > rep").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    low = many.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = materialize(many.join(low, "label").select("node", "component_id"), "of")
+    # of every node that has copies or links: its component, how many nodes that has, and its smallest document
+    many = reps.select("node", "rep", "copies").join(maybe_broadcast(found), "node", "left").where("label is not null or copies > 1").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
+    low = materialize(many.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("size")), "low")
+    of = materialize(many.join(maybe_broadcast(low), "label"), "of")
+    discard(reps, low)
     out = nodes.select("doc_id", "n", "node")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     if not count:
-        discard(reps)
-        return out.join(of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+        return out.join(maybe_broadcast(of.select("node", "component_id")), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
     # all links of a node lie in its component: blocks of its members, each with each
-    sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    copies = whole.join(of.select("node"), "node", "left_semi").groupBy("node").agg(F.countDistinct("doc_id").alias("copies"))
-    copies = materialize(copies, "copies")
-    member = materialize(found.join(sizes, "label").join(copies, "node").join(reps.select("node", "rep"), "node").select("node", "label", "size", "copies", "rep"), "members")
-    few = maybe_broadcast(member.select(F.col("rep").alias("doc_id")).distinct(), member.count())
-    sets = named.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(words), _as_spark(_SETS)).dropDuplicates(["node"])
-    dealt = _blocks(member.drop("rep"), BLOCK).join(sets, "node")
+    member = of.where("size > 1").select("node", "label", "size", "copies", "rep")
+    dealt = sets_of(member).join(maybe_broadcast(_blocks(member.drop("rep"), BLOCK), limit=BROADCAST_ROWS // 4), "node")
     dealt = dealt.repartition(partitions(spark), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
     summed = dealt.mapInArrow(_counted(g), _as_spark(_COUNTS)).groupBy("node").agg(F.sum("links").alias("links"))
     summed = materialize(summed, "counts")
-    discard(member, reps)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).otherwise(0).cast("long").alias("links")
-    return out.join(of.join(copies, "node").join(summed, "node", "left"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component, own)
+    of = of.select("node", "component_id", "copies").join(maybe_broadcast(summed), "node", "left")
+    return out.join(maybe_broadcast(of), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component, own)

@@ -145,3 +145,43 @@ def test_links_are_counted_whole(docs_of, monkeypatch, block):
     want = {i: sum(10 * len(a & b) >= 9 * len(a | b) for j, b in sets.items() if j != i and a and b) for i, a in sets.items()}
     got = {r.doc_id: r.links for r in near_duplicates(docs_of(rows), "0.9", 3).collect()}
     assert {i: n for i, n in got.items() if i is not None} == want and got[None] == 0 and max(want.values()) > 2
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_components_in_one_task_and_dealt_are_the_same(spark, monkeypatch, held):
+    monkeypatch.setattr("plumbline.llm.components.HELD", held)
+    rng = random.Random(12)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(-(1 << 62), 1 << 62), (70, 70), (None, 2)]
+    up = {i: i for p in pairs if None not in p and p[0] != p[1] for i in p}
+    for _ in up:
+        for a, b in pairs:
+            if a in up and b in up:
+                up[a] = up[b] = min(up[a], up[b])
+    rows = components(spark.createDataFrame(pairs, "u long, v long").repartition(3)).collect()
+    assert {r.node: r.label for r in rows} == up and len(rows) == len(up)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_joins_with_and_without_broadcast_are_the_same(docs_of, monkeypatch, few):
+    monkeypatch.setattr("plumbline.llm.common.BROADCAST_ROWS", few)
+    monkeypatch.setattr("plumbline.llm.common.maybe_broadcast.__defaults__", (None, few))
+    monkeypatch.setattr("plumbline.llm.partenum.BROADCAST_ROWS", few)
+    monkeypatch.setattr("plumbline.llm.partenum.SKETCHES", 8 * few)
+    for rows in (copies(13, n=3), copies(13, n=3) * 2 + [(1, "one two three four")]):
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(rows), "0.8", 3).collect()}
+        assert got == brute(rows, "0.8", 3)
+
+
+def test_stages_are_few(docs_of):
+    """Each shuffle costs a task for every partition, however few rows there are."""
+    docs = docs_of([(i, " ".join(f"w{j}" for j in range(60)) + f" x{i % 5}") for i in range(20)] + [(30, "a b c d")])
+    context = docs.sparkSession.sparkContext
+    context.setJobGroup("stages", "")
+    try:
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs, "0.9", 3).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("stages")]
+    stages = {s for j in jobs if j for s in j.stageIds}
+    assert len(set(got.values())) == 2 and len(stages) <= 130, len(stages)
